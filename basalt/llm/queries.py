@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, order_minhash, sharding, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,21 @@ def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.order_minhash(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_mix_sources, op6_extendible_sharding)}
+    found = (op2_exact_dedup, op5_mix_sources, op6_extendible_sharding, op8_simhash_golay, op9_order_minhash, op10_suffix_array_dedup)
+    return {f.__name__: f for f in found}
 
 
 OP2_SQL = r"""
@@ -58,7 +71,7 @@ WITH d AS (
          sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
   FROM caps
 ), level AS (
-  SELECT coalesce(min((total - capped) / free) FILTER (WHERE cap >= weight * ((total - capped) / free)), 1e300) AS lvl FROM filled
+  SELECT coalesce(arg_min((total - capped) / free, cap / weight) FILTER (WHERE cap >= weight * ((total - capped) / free)), 1e300) AS lvl FROM filled
 ), t AS (
   SELECT source, source_size, least(cap, weight * lvl) AS target FROM caps, level
 ), r AS (
