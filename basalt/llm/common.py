@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as every operator here understands it: space and U+0009 to U+000D.
@@ -99,6 +99,20 @@ def slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def row_hash(text: Column) -> Column:
+    """A hash of a text as it stands; with the id it names a row, and rows that share both are alike."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose (doc_id, th) is among the keys, with their own columns; of rows alike in both, one."""
+    wanted = keys.select(F.col("doc_id").alias("_key_id"), F.col("th").alias("_key_th")).distinct()
+    marked = docs.withColumn("_th", row_hash(F.col(text_col)))
+    found = marked.join(wanted, marked[id_col].eqNullSafe(wanted["_key_id"]) & (marked["_th"] == wanted["_key_th"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col, "_th").orderBy(F.lit(0)))
+    return found.withColumn("_copy", first).where("_copy = 1").select(*docs.columns)
+
+
 def partitions_for(spark: SparkSession, total_bytes: float, each: int = 64 << 20) -> int:
     """Partitions for a stage that holds so many bytes, at least one for each core."""
     return max(spark.sparkContext.defaultParallelism, math.ceil(total_bytes / each))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, strip_space
+from .common import keep_rows, materialize, row_hash, strip_space
 
 
 def content_hash(normal: Column) -> Column:
@@ -20,7 +20,7 @@ def exact_dedup(
     normalize=strip_space,
     hash_fn=content_hash,
 ) -> DataFrame:
-    """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
+    """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars, th (a hash of the text as it stands).
 
     Texts are equal when their normalised forms have the same bytes.  Of equal texts, the row with the most
     code points in its original text stays, then the smallest id.
@@ -38,9 +38,9 @@ def exact_dedup(
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalize(text).alias("normal"), F.length(text).alias("n_chars"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalize(text).alias("normal"), F.length(text).alias("n_chars"), row_hash(text).alias("th"))
     rows = rows.withColumn("h", hash_fn(F.col("normal")))
-    keys = materialize(rows.select("doc_id", "n_chars", "h", F.sha2(F.col("normal"), 256).alias("text_sha256")), "dedup-keys")
+    keys = materialize(rows.select("doc_id", "n_chars", "th", "h", F.sha2(F.col("normal"), 256).alias("text_sha256")), "dedup-keys")
     again = materialize(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "dedup-again")
     classes = (
         rows.join(again, "h", "left_semi")
@@ -72,4 +72,14 @@ def exact_dedup(
         (F.col("doc_id").eqNullSafe(keep) & F.col("n_chars").eqNullSafe(F.coalesce("keep_chars", "n_chars"))).alias("kept"),
         "text_sha256",
         F.col("n_chars").cast("long").alias("n_chars"),
+        "th",
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of equal texts, with all its columns: the one that ``exact_dedup`` keeps.
+
+    Rows that repeat the id that stays, and its length, are one row too.
+    """
+    stays = exact_dedup(docs, id_col, text_col).where("kept")
+    return keep_rows(docs, stays.groupBy("text_sha256").agg(F.first("doc_id").alias("doc_id"), F.min("th").alias("th")), id_col, text_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, row_hash, word_count
 
 #: Weights dealt to the sources in order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -68,7 +68,7 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     seed: int = 17,
 ) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, weight, target, whole, repeats, taken.
+    """One row for each document: doc_id, source, size, source_size, weight, target, whole, repeats, taken, th (a hash of the text).
 
     ``share`` of all words is dealt to the sources by weight, clamped at ``max_epochs`` times a source's size.
     A source whose target is r times its size takes floor(r) whole repetitions of every document.  For the rest
@@ -83,7 +83,7 @@ def mix_sources(
     A table with no words has targets 0.  Other columns, whatever their names, are ignored.
     """
     key = order_key(F.col("doc_id"), seed)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(text_col)).alias("th"))
     rows = materialize(rows.withColumn("place", key), "mix-rows")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = materialize(rank_weights(sources, "source", weights), "mix-sources")
@@ -105,13 +105,18 @@ def mix_sources(
     middle = F.col("shift") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2
     repeats = F.col("whole") + (middle < F.col("extra")).cast("long")
     return placed.withColumn("repeats", repeats).select(
-        "doc_id", "source", "size", "source_size", "weight", "target", "whole", "repeats", (F.col("size") * F.col("repeats")).alias("taken")
+        "doc_id", "source", "size", "source_size", "weight", "target", "whole", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), "th"
     )
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", first_copy_col: str | None = None) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; columns as they were."""
-    times = mixed.groupBy("doc_id").agg(F.max("repeats").alias("_repeats")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(times, docs[id_col].eqNullSafe(F.col("_id")))
-    copies = F.explode(F.expr("sequence(1, cast(_repeats as int))")).alias("_copy")
-    return joined.where("_repeats > 0").select(*[docs[c] for c in docs.columns], copies).drop("_copy")
+def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents themselves, each as often as the mix takes it; columns as they were.
+
+    Rows alike in id and text are taken as often as the one of them that is taken most.
+    """
+    times = mixed.where("repeats > 0").groupBy("doc_id", "th").agg(F.max("repeats").alias("_repeats"))
+    times = times.select(F.col("doc_id").alias("_key_id"), F.col("th").alias("_key_th"), "_repeats")
+    marked = docs.withColumn("_th", row_hash(F.col(text_col)))
+    joined = marked.join(times, marked[id_col].eqNullSafe(times["_key_id"]) & (marked["_th"] == times["_key_th"]))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int"))).alias("_copy")
+    return joined.select(*[marked[c] for c in docs.columns], copies).drop("_copy")

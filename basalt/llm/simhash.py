@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, each_text, materialize, slices
+from .common import connected_components, each_text, keep_rows, materialize, row_hash, slices
 from .golay import Golay
 
 #: Texts are cut into words in pieces of about this many bytes, so that a very long text needs little memory.
@@ -74,17 +74,17 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, marked): the fingerprint as a signed 64-bit number."""
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, fp, th): the fingerprint as a signed 64-bit number, and a hash of the text as it stands."""
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_hash(F.col(text_col)).alias("th"))
 
     def work(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
             fps = [fingerprint(t) for t in each_text(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], ["doc_id", "fp", "th"])
 
-    return picked.mapInArrow(work, "doc_id long, fp long")
+    return picked.mapInArrow(work, "doc_id long, fp long, th long")
 
 
 @lru_cache(maxsize=1)
@@ -265,7 +265,10 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, fp, fingerprint (16 hex digits), component_id, fp_docs.
+    """One row for each document: doc_id, fp, fingerprint (16 hex digits), component_id, fp_docs, component, th.
+
+    ``component`` is the smallest fingerprint that links reach: it tells components apart even where ids repeat.
+    ``th`` is a hash of the text as it stands.
 
     Documents link when their fingerprints differ in three bits or fewer; the component is the smallest id that
     links reach.  Equal fingerprints collapse first, so a group of copies costs one row for each task.  Distinct
@@ -282,7 +285,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links)
     grouped = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least_id", "fp_docs", F.coalesce("component", "fp").alias("component"))
     named = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = grouped.join(named, "component").select("fp", "component_id", "fp_docs")
+    named = grouped.join(named, "component").select("fp", "component", "component_id", "fp_docs")
     return fps.join(named, "fp").select(
-        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp_docs"
+        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp_docs", "component", "th"
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id."""
+    near = near_duplicates(docs, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    stays = near.groupBy("component").agg(F.min(order).alias("s")).select("s.doc_id", "s.th")
+    return keep_rows(docs, stays, id_col, text_col)
