@@ -16,8 +16,8 @@ from .suffix_array import common_prefixes, packed_keys, suffix_array
 ANCHOR = 32
 #: Text that is in work at a time; a longer text is cut, with windows running over.
 PIECE = 1 << 20
-#: Bytes of contexts in one suffix array, and contexts of one anchor in it.
-SHARD_BYTES, ANCHOR_CONTEXTS = 2 << 20, 2048
+#: Bytes of contexts in one suffix array.  An anchor whose contexts have more is dealt over several.
+SHARD_BYTES = 2 << 20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,11 +106,9 @@ def _occurrences(match: int):
     return work
 
 
-def repeated_windows(texts: list[bytes], match: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each context, which of its windows also start elsewhere in these contexts; and the order of windows.
-
-    The second value has the global positions of all windows' starts in suffix order.
-    """
+def repeated_windows(texts: list[bytes], match: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each context, which of its windows also start elsewhere in these contexts; and which of them equal the
+    one before them in suffix order, so that one of each set of equal windows is left."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     symbols = np.zeros(int((sizes + 1).sum()), np.int16)  # a zero ends each context
@@ -127,7 +125,8 @@ def repeated_windows(texts: list[bytes], match: int) -> tuple[list[np.ndarray],
     behind = lcp[sa] >= match
     shared = np.zeros(len(symbols), bool)
     shared[sa] = behind | np.append(behind[1:], False)
-    return [shared[s : s + k] for s, k in zip(starts.tolist(), steps.tolist(), strict=True)], sa
+    at = list(zip(starts.tolist(), steps.tolist(), strict=True))
+    return [shared[s : s + k] for s, k in at], [lcp[s : s + k] >= match for s, k in at]
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +137,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_shard(match: int):
     """Sorted rows (shard, v, c, n, hot, text) to rows (v, c, lo, hi, d1, d2): runs of windows that repeat inside the
-    shard, and for anchors that lie in several shards a digest of each window, as ``hi`` = -1 if it repeats there."""
+    shard, and for anchors that lie in several shards a digest of each different window, ``hi`` = -1 if it repeats there."""
 
     def work(batches):
         import pyarrow as pa
@@ -147,15 +146,15 @@ def _by_shard(match: int):
         held: list = []
 
         def solve(rows):
-            repeated, _ = repeated_windows([r[5] for r in rows], match)
+            repeated, later = repeated_windows([r[5] for r in rows], match)
             out: list[list] = [[] for _ in range(6)]
-            for (_, v, c, n, hot, text), flags in zip(rows, repeated, strict=True):
+            for (_, v, c, n, hot, text), flags, known in zip(rows, repeated, later, strict=True):
                 if n == 1:
                     for lo, hi in zip(*_runs(flags), strict=True):
                         for column, x in zip(out, (v, c, int(lo), int(hi), None, None), strict=True):
                             column.append(x)
                 if hot:
-                    for at in range(len(flags)):
+                    for at in np.flatnonzero(~known).tolist():
                         d = xxh3_128_digest(text[at : at + match])
                         row = (v, c, at, -1 if flags[at] or n > 1 else at, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
                         for column, x in zip(out, row, strict=True):
@@ -269,7 +268,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = per_anchor.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
     several = contexts.join(per_anchor, "v")
-    salts = F.ceil(F.col("different") / ANCHOR_CONTEXTS)
+    salts = F.ceil(F.col("bytes") / SHARD_BYTES)
     several = several.withColumn("hot", salts > 1).withColumn("salt", F.pmod(F.col("c"), salts))
     several = several.withColumn("shard", F.pmod(F.xxhash64("v", "salt"), F.lit(shards)))
 

@@ -231,8 +231,7 @@ def test_removal_over_many_shards_and_pieces(spark, make, odd_texts, monkeypatch
     passage = "".join(rng.choice("abcdef ") for _ in range(260))
     noise = lambda n: "".join(rng.choice("uvwxyz ") for _ in range(n))
     texts = odd_texts + [noise(150) + passage[rng.randint(0, 40) :] + noise(150) for _ in range(60)]
-    monkeypatch.setattr(substring_dedup, "ANCHOR_CONTEXTS", 5)
-    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 3000)
     monkeypatch.setattr(substring_dedup, "PIECE", 301)
     check_removal(spark, make, texts, 200)
 
