@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, folder: str, sample: DataFrame, pattern: str = "events.parquet") -> DataFrame:
-    """The files of a folder as a stream; times become time-zone aware so that they can carry a watermark."""
+    """The files of a folder as a stream; times without a zone count as UTC, so that they can carry a watermark."""
     stream = spark.readStream.schema(sample.schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    if dict(sample.dtypes)["ts"] != "timestamp_ntz":
+        return stream
+    return stream.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
