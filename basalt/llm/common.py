@@ -2,52 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import math
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, new_path
+
 #: White space as every operator here understands it: space and U+0009 to U+000D.
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_CLASS = "[^\\x20\\x09-\\x0D]"
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one.  Where it is unset, a local master gets a
-    temporary folder that goes with the process; any other master gets a folder in the warehouse.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], True)
-    return "file://" + _LOCAL_DIRS[app]
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, kind: str = "stage") -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and returns the table: lineage ends there."""
-    path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def strip_space(text: Column) -> Column:
     """The text without any white space; byte-wise replacement stays inside code generation."""
@@ -113,11 +78,6 @@ def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col
     return found.withColumn("_copy", first).where("_copy = 1").select(*docs.columns)
 
 
-def partitions_for(spark: SparkSession, total_bytes: float, each: int = 64 << 20) -> int:
-    """Partitions for a stage that holds so many bytes, at least one for each core."""
-    return max(spark.sparkContext.defaultParallelism, math.ceil(total_bytes / each))
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges; the component is its smallest node.
 
