@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 MOST_DEPTH = 16
 
 
 def ancestor_closure(edges: DataFrame, child: str, parent: str, max_depth: int = MOST_DEPTH) -> DataFrame:
-    """(child, ancestor, depth) by self-joins; each pair at its least depth.  Stops as soon as a round adds nothing.
+    """(child, ancestor, depth) by self-joins; each pair at its least depth.
 
-    Distances double in each round, so depth 16 takes four joins.
+    Distances double in each round, so depth 16 takes four joins.  Each round is a table in the shared folder, as the
+    next one reads it twice.
     """
     found = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).where("node is not null and ancestor is not null").distinct()
     reach = 1
@@ -19,6 +22,7 @@ def ancestor_closure(edges: DataFrame, child: str, parent: str, max_depth: int =
         up = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("higher"), F.col("depth").alias("more"))
         longer = found.join(up, "ancestor").select("node", F.col("higher").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         found = found.union(longer).where(F.col("depth") <= max_depth).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        found = materialize(found, "closure")
         reach *= 2
     return found
 
@@ -29,7 +33,7 @@ def expand(edges: DataFrame, seeds: DataFrame, source: str, target: str, depth:
     frontier = known
     for d in range(1, depth + 1):
         step = frontier.join(edges, frontier["node"] == edges[source]).select(F.col(target).alias("node"), F.lit(d).alias("depth")).distinct()
-        frontier = step.join(known.select("node"), "node", "left_anti")
+        frontier = materialize(step.join(known.select("node"), "node", "left_anti"), "frontier")
         known = known.union(frontier)
     return known
 
