@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import span_contains, span_overlaps
+from ..sources.shared import materialize
 from .kernels import SortKey
 
 EXACT, OVERLAP, CONTAINED = "EXACT", "OVERLAP_MAX", "CONTAINED_BEST"
@@ -45,8 +46,7 @@ def interval_align(left: DataFrame, right: DataFrame, spec: AlignSpec) -> DataFr
     The best has the largest overlap, then comes first by tie-breakers, start and end, nulls last.  ``how=left``
     keeps unmatched rows as NO_MATCH.
 
-    Only the left row's number and the right columns go through the ranking; the shuffle is by path, and the
-    number keeps equal left rows apart.
+    One join by path, then one ranking by the number that each left row gets before it; equal left rows stay apart.
     """
     lcols = list(spec.left_columns or left.columns)
     rcols = list(spec.right_columns or right.columns)
@@ -57,24 +57,25 @@ def interval_align(left: DataFrame, right: DataFrame, spec: AlignSpec) -> DataFr
             name += "_r"
         names[c] = name
         taken.add(name)
-    keyed = left.withColumn("_row", F.monotonically_increasing_id())
-    probe = keyed.select("_row", F.col(spec.left_path).alias("_lp"), F.col(spec.left_start).alias("_ls"), F.col(spec.left_end).alias("_le"))
+    probe = left.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(spec.left_path).alias("_lp"), F.col(spec.left_start).alias("_ls"), F.col(spec.left_end).alias("_le"),
+        *[F.col(c).alias(f"_l_{c}") for c in lcols],
+    )
     used = {*rcols, spec.right_path, spec.right_start, spec.right_end, *[k.column for k in spec.tie_breakers]}
-    other = right.select(*[F.col(c).alias(f"_r_{c}") for c in sorted(used)])
+    other = right.select(F.lit(True).alias("_hit"), *[F.col(c).alias(f"_r_{c}") for c in sorted(used)])
     rs, re = F.col(f"_r_{spec.right_start}"), F.col(f"_r_{spec.right_end}")
     cond = (F.col("_lp") == F.col(f"_r_{spec.right_path}")) & _pairs(F.col("_ls"), F.col("_le"), rs, re, spec.mode)
     score = F.greatest(F.least(F.col("_le"), re) - F.greatest(F.col("_ls"), rs), F.lit(0)).cast("double")
-    pairs = probe.join(other, cond).withColumn("match_score", score)
+    pairs = probe.join(other, cond, "left" if spec.how.lower() == "left" else "inner")
+    pairs = pairs.withColumn("match_score", F.when(F.col("_hit"), score))
     order = [F.col("match_score").desc_nulls_last()]
     for k in spec.tie_breakers:
         c = F.col(f"_r_{k.column}")
         order.append(c.asc_nulls_last() if k.order == "ascending" else c.desc_nulls_last())
     order += [rs.asc_nulls_last(), re.asc_nulls_last()]
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy(*order))).where("_n = 1")
-    best = best.select(F.col("_row").alias("_best"), "match_score", *[F.col(f"_r_{c}").alias(names[c]) for c in rcols])
-    joined = keyed.join(best.select("_best", "match_score", *[F.col(n).alias(f"_o_{n}") for n in names.values()]), F.col("_row") == F.col("_best"), "left" if spec.how.lower() == "left" else "inner")
-    kind = F.when(F.col("_best").isNull(), "NO_MATCH").otherwise(spec.mode)
-    return joined.select(*[F.col(c) for c in lcols], *[F.col(f"_o_{n}").alias(n) for n in names.values()], kind.alias("match_kind"), "match_score")
+    kind = F.when(F.col("_hit"), spec.mode).otherwise("NO_MATCH")
+    return best.select(*[F.col(f"_l_{c}").alias(c) for c in lcols], *[F.col(f"_r_{c}").alias(names[c]) for c in rcols], kind.alias("match_kind"), "match_score")
 
 
 def range_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], condition: str = "contains", how: str = "inner", width: int | None = None, most_bins: int = 64) -> DataFrame:
@@ -83,11 +84,13 @@ def range_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str],
     Both sides are dealt to the bins of ``width`` that they touch, meet by bin, and a pair counts in the first bin
     that both touch.  Without a width, the median length of both sides is taken.  A row that would touch more than
     ``most_bins`` goes to one bin of a coarser level, 64 times as wide (and so on), and the other side is filed on every
-    level that is in use, so nothing is dropped.  ``how`` is inner or left.
+    level that is in use, so nothing is dropped.  ``how`` is inner or left; for left, the numbered left rows are written
+    once, so that both uses of a number see the same row.
     """
     ls, le, rs, re = F.col("_ls"), F.col("_le"), F.col("_rs"), F.col("_re")
-    keyed = left.withColumn("_row", F.monotonically_increasing_id())
-    a = keyed.select("_row", F.col(left_bounds[0]).cast("long").alias("_ls"), F.col(left_bounds[1]).cast("long").alias("_le"))
+    keyed = materialize(left.withColumn("_row", F.monotonically_increasing_id()), "range-left") if how == "left" else left
+    carried = F.col("_row") if how == "left" else F.struct(*[F.col(c) for c in left.columns]).alias("_row")
+    a = keyed.select(carried, F.col(left_bounds[0]).cast("long").alias("_ls"), F.col(left_bounds[1]).cast("long").alias("_le"))
     b = right.select(F.struct(*[F.col(c) for c in right.columns]).alias("_right"), F.col(right_bounds[0]).cast("long").alias("_rs"), F.col(right_bounds[1]).cast("long").alias("_re"))
     a, b = a.where("_ls <= _le"), b.where("_rs <= _re")
     if width is None:
@@ -114,6 +117,8 @@ def range_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str],
         pairs = pairs.union(p)
     taken = set(left.columns)
     out = [F.col("_right").getField(c).alias(c if c not in taken else f"{c}__r") for c in right.columns]
+    if how != "left":
+        return pairs.select(*[F.col("_row").getField(c).alias(c) for c in left.columns], *out)
     return keyed.join(pairs.withColumnRenamed("_row", "_pair"), F.col("_row") == F.col("_pair"), how).select(*left.columns, *out)
 
 
