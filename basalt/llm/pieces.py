@@ -66,6 +66,9 @@ class Lattice:
         weight = (np.minimum(np.array(ranks), size) + 2.7) ** -alpha
         self.weight = weight / weight.sum()
         self.fallback = float((size + 2.7) ** -alpha / weight.sum())
+        length = np.array([len(b.decode("utf-8", "ignore")) for b in self.bytes_of])
+        #: Tilted weights; the last is that of a character as bytes.
+        self.tilted = np.append(self.weight * np.exp(TILT * length), self.fallback * np.exp(TILT))
         self.piece_of = np.array(piece_of, np.int32)
         self.root = np.zeros(0x110000, np.int32)
         for key, node in table.items():
@@ -116,88 +119,126 @@ def word_starts(points: np.ndarray) -> np.ndarray:
     return new
 
 
-def sample(lat: Lattice, points: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """The piece that begins at each code point, -1 where none does, -2 for bytes.
+def distinct_words(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word's first equal, words that are first), by a hash of the word that is then verified.
 
-    Forward filtering sums, for every place in a word, the weights of all segmentations that reach it.  Backward
-    sampling starts at the end of each word and picks the last piece in proportion to the sum at its start times
-    its weight, until the word's start.  ``draws`` has a number in [0, 1) for each place, so a draw belongs to a
-    place of a row and not to the order of work.
+    The hash is a difference of sums of code points times powers of an odd number, shifted back by the inverse
+    power.  Words whose code points differ from those of the word they were matched with count as distinct.
+    """
+    n = len(points)
+    power = np.cumprod(np.full(n, np.uint64(_MUL)))
+    back = np.cumprod(np.full(n, np.uint64(pow(_MUL, -1, 1 << 64))))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power)])
+    h = _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    order = np.argsort(h)
+    heads = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    first, word = order[heads], np.empty(len(h), np.int64)
+    word[order] = np.cumsum(heads) - 1
+    shift = np.repeat(start[first[word]] - start, end - start)
+    if (points[np.arange(n) + shift] != points).any() or (end - start != (end - start)[first[word]]).any():
+        return np.arange(len(start)), np.arange(len(start))
+    return word, first
+
+
+def forward(lat: Lattice, points: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(from, piece, share so far, bounds, group): the edges of the lattice of words, by the place where they end.
+
+    Forward filtering sums, for every place in a word, the weights of all segmentations that reach it; an edge's
+    share is its part of the sum at its end.  ``group`` gives a place's edges, between two bounds.
     """
     n = len(points)
-    new = word_starts(points)
-    start = np.flatnonzero(new)
-    word = np.cumsum(new) - 1
-    end = np.append(start[1:], n)
-    room = end[word] - np.arange(n)
-    # Edges of the lattice: (from, length, piece).
-    begin, node = np.arange(n), lat.root[points]
+    sizes_of = (end - start).astype(np.int32)
+    room = np.repeat(end.astype(np.int32), sizes_of) - np.arange(n, dtype=np.int32)
+    depth_of = np.arange(n, dtype=np.int32) - np.repeat(start.astype(np.int32), sizes_of)
+    begin, node = np.arange(n, dtype=np.int32), lat.root[points]
     froms, sizes, pieces = [], [], []
     length = 1
     while len(begin):
-        ok = node > 0
+        ok = np.flatnonzero(node)
         begin, node = begin[ok], node[ok]
         piece = lat.piece_of[node]
-        has = piece >= 0
+        has = np.flatnonzero(piece >= 0)
         froms.append(begin[has])
-        sizes.append(np.full(int(has.sum()), length, np.int32))
+        sizes.append(np.full(len(has), length, np.int32))
         pieces.append(piece[has])
         if length == 1:
             spelled = np.zeros(n, bool)
             spelled[begin[has]] = True
-            bare = np.flatnonzero(~spelled)
+            bare = np.flatnonzero(~spelled).astype(np.int32)
             froms.append(bare)
             sizes.append(np.ones(len(bare), np.int32))
             pieces.append(np.full(len(bare), -2, np.int32))
-        go = room[begin] > length
+        go = np.flatnonzero(room[begin] > length)
         begin, node = begin[go], node[go]
         node = lat.children(node, points[begin + length].astype(np.int64))
         length += 1
     frm, size, piece = np.concatenate(froms), np.concatenate(sizes), np.concatenate(pieces)
-    weight = np.where(piece >= 0, lat.weight[piece], lat.fallback) * np.exp(TILT * size)
-    # By the place in the word that they end at, then by position; int keys below 2^16 sort by radix.
+    # By the place in the word that they end at, then by position and length; no two keys are equal.
+    depth = depth_of[frm] + size
+    order = np.argsort((depth.astype(np.int64) << 40) | ((frm + size).astype(np.int64) << 7) | size)
+    frm, size, piece, depth = frm[order], size[order], piece[order], depth[order]
     to = frm + size
-    depth = (to - start[word[frm]]).astype(np.uint16)
-    order = np.argsort(to, kind="stable")
-    order = order[np.argsort(depth[order], kind="stable")]
-    frm, to, weight, piece, depth = frm[order], to[order], weight[order], piece[order], depth[order]
+    weight = lat.tilted[np.where(piece >= 0, piece, len(lat.weight))]
     first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))  # the edges that end at one place lie together
     place = to[first]
     steps = np.searchsorted(depth[first], np.arange(1, BLOCK + 2))
     reach = np.zeros(n + 1)
     reach[start] = 1.0
+    opens = np.zeros(n + 1, bool)
+    opens[start] = True
     share = np.empty(len(frm))
     bounds = np.append(first, len(frm))
-    for d in range(len(steps) - 1):
+    for d in range(BLOCK):
         lo, hi = steps[d], steps[d + 1]
         if lo == hi:
-            if lo == len(first):
-                break
-            continue
+            break
         a, b = bounds[lo], bounds[hi]
-        share[a:b] = reach[frm[a:b]] * weight[a:b]
-        sums = np.add.reduceat(share[a:b], first[lo:hi] - a)
-        share[a:b] /= np.repeat(sums, np.diff(bounds[lo : hi + 1]))
-        inside = place[lo:hi]
-        inside = inside < n
-        at = place[lo:hi][inside]
-        go = ~new[at]
-        reach[at[go]] = sums[inside][go]
-    total = np.cumsum(share)
-    group = np.zeros(n + 1, np.int64)
-    group[place] = np.arange(len(place))
-    out = np.full(n, -1, np.int32)
-    at, stop = end.copy(), start.copy()
+        part = reach[frm[a:b]] * weight[a:b]
+        sums = np.add.reduceat(part, first[lo:hi] - a)
+        share[a:b] = part / np.repeat(sums, np.diff(bounds[lo : hi + 1]))
+        at = place[lo:hi]
+        go = np.flatnonzero(~opens[at])  # a word's end is the next one's start, which keeps its own sum
+        reach[at[go]] = sums[go]
+    group = np.zeros(n + 1, np.int32)
+    group[place] = np.arange(len(place), dtype=np.int32)
+    # Shares so far in each place's edges; summed inside the place, so that they depend on the word alone.
+    count = np.diff(bounds)
+    for k in range(1, int(count.max(initial=0))):
+        more = first[count > k] + k
+        share[more] += share[more - 1]
+    return frm, piece, share, bounds, group
+
+
+def sample(lat: Lattice, points: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The piece that begins at each code point, -1 where none does, -2 for bytes.
+
+    The lattice is filtered forward once for each distinct word.  Backward sampling starts at the end of every
+    word and picks the last piece by its share of the sum there, then goes on from its start, until the word's
+    start.  ``draws`` has a number in [0, 1) for each place, so a draw belongs to a place of a row and not to the
+    order of work.
+    """
+    start = np.flatnonzero(word_starts(points))
+    end = np.append(start[1:], len(points))
+    word, first = distinct_words(points, start, end)
+    sizes = (end - start)[first]
+    ends = np.cumsum(sizes)
+    take = np.arange(int(sizes.sum())) + np.repeat(start[first] - (ends - sizes), sizes)
+    frm, piece, share, bounds, group = forward(lat, points[take], ends - sizes, ends)
+    out = np.full(len(points), -1, np.int32)
+    at, stop = ends[word], (ends - sizes)[word]
+    shift = start - stop
     while len(at):
         g = group[at]
-        lo, hi = bounds[g], bounds[g + 1] - 1
-        base = np.where(lo > 0, total[lo - 1], 0.0)
-        want = base + draws[at - 1] * (total[hi] - base)
-        pick = np.clip(np.searchsorted(total, want, "right"), lo, hi)
-        at = frm[pick]
-        out[at] = piece[pick]
-        go = at > stop
-        at, stop = at[go], stop[go]
+        pick, last, draw = bounds[g], bounds[g + 1] - 1, draws[at + shift - 1]
+        left = np.flatnonzero((share[pick] <= draw) & (pick < last))
+        while len(left):
+            pick[left] += 1
+            now = pick[left]
+            left = left[(share[now] <= draw[left]) & (now < last[left])]
+        at = frm[pick].astype(np.int64)
+        out[at + shift] = piece[pick]
+        go = np.flatnonzero(at > stop)
+        at, stop, shift = at[go], stop[go], shift[go]
     return out
 
 
