@@ -91,7 +91,7 @@ def import_cycles(t):
 
 
 @query("""
-SELECT p_partkey, 2.0 * CAST(p_type = 'ECONOMY' AS INTEGER) + CAST(p_size > 20 AS INTEGER) AS score FROM part WHERE regexp_matches(p_name, 'w')
+SELECT p_partkey, CAST(2 * CAST(p_type = 'ECONOMY' AS INTEGER) + CAST(p_size > 20 AS INTEGER) AS DOUBLE) AS score FROM part WHERE regexp_matches(p_name, 'w')
 ORDER BY score DESC, p_brand, p_partkey LIMIT 25
 """)
 def ranked_search(t):

@@ -72,7 +72,7 @@ def ambiguity_report(t):
 
 
 @query("""
-SELECT c_custkey AS file_id, coalesce(n, 0) AS pending_count, coalesce(m, 0) AS errors_count, 1000.0 - coalesce(n, 0) * 10.0 - coalesce(m, 0) * 5.0 AS file_quality_score
+SELECT c_custkey AS file_id, coalesce(n, 0) AS pending_count, coalesce(m, 0) AS errors_count, CAST(1000 - coalesce(n, 0) * 10 - coalesce(m, 0) * 5 AS DOUBLE) AS file_quality_score
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey
 LEFT JOIN (SELECT user_id, count(*) AS m FROM events WHERE event_type = 'error' GROUP BY 1) ON user_id = c_custkey
 """)
@@ -101,7 +101,7 @@ def relate_inferred_overlap(t):
 
 @query("""
 WITH s AS {s}, l AS (SELECT * FROM s WHERE event_type = 'view'), r AS (SELECT * FROM s WHERE event_type = 'error')
-SELECT CAST(l.event_id AS VARCHAR) AS entity_id, 'e' || r.event_id AS symbol, l.path, r.bstart, r.bend, 2000.0 + 20.0 * CAST(l.bstart = r.bstart AS INTEGER) + 10.0 * CAST(l.bend = r.bend AS INTEGER) AS score, 1.0 AS confidence,
+SELECT CAST(l.event_id AS VARCHAR) AS entity_id, 'e' || r.event_id AS symbol, l.path, r.bstart, r.bend, CAST(2000 + 20 * CAST(l.bstart = r.bstart AS INTEGER) + 10 * CAST(l.bend = r.bend AS INTEGER) AS DOUBLE) AS score, CAST(1 AS DOUBLE) AS confidence,
        CAST(l.event_id AS VARCHAR) AS ambiguity_group_id, 1 AS ambiguity_rank
 FROM l JOIN r ON l.path = r.path AND l.bstart < r.bend AND r.bstart < l.bend
 QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY 2000.0 + 20.0 * CAST(l.bstart = r.bstart AS INTEGER) + 10.0 * CAST(l.bend = r.bend AS INTEGER) DESC, r.bstart) = 1
