@@ -175,31 +175,34 @@ def _by_shard(match: int):
 
 
 def _across_shards(batches):
-    """Rows (d1, d2, shard, v, c, lo, hi) sorted by digest: windows that do not repeat in their shard but do in
-    another.  The windows of all shards are one sorted list here; a binary search finds where a digest's begin and end."""
+    """Rows (v, c, lo, hi, d1, d2) sorted by digest: runs of windows pass; of windows with a digest, those pass that do
+    not repeat in their shard but do in another.  The windows of all shards are one sorted list here; a binary search
+    finds where a digest's begin and end."""
     import pyarrow as pa
 
+    names = ["v", "c", "lo", "hi"]
     held: list[np.ndarray] = []
 
     def solve(rows):
-        d1, d2 = rows[0], rows[1]
-        turn = np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])])
-        group = np.cumsum(turn)
-        alone = np.flatnonzero(rows[6] >= 0)
+        d1, d2 = rows[4], rows[5]
+        group = np.cumsum(np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]))
+        alone = np.flatnonzero(rows[3] >= 0)
         count = np.searchsorted(group, group[alone], "right") - np.searchsorted(group, group[alone], "left")
         hit = alone[count > 1]
-        columns = [pa.array(rows[k][hit]) for k in (3, 4, 5, 5)]
-        return pa.RecordBatch.from_arrays(columns, ["v", "c", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[k][hit]) for k in (0, 1, 2, 2)], names)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(np.stack([np.asarray(c) for c in batch.columns]))
-        if held[0][0, 0] != held[-1][0, -1]:
-            rows = np.concatenate(held, axis=1)
-            cut = int(np.searchsorted(rows[0], rows[0, -1]))
-            held = [rows[:, cut:].copy()]
-            yield solve(rows[:, :cut])
+        runs = batch.filter(batch.column(4).is_null())
+        if runs.num_rows:
+            yield pa.RecordBatch.from_arrays(runs.columns[:4], names)
+        windows = batch.filter(batch.column(4).is_valid())
+        if windows.num_rows:
+            held.append(np.stack([np.asarray(c) for c in windows.columns]))
+            if held[0][4, 0] != held[-1][4, -1]:
+                rows = np.concatenate(held, axis=1)
+                cut = int(np.searchsorted(rows[4], rows[4, -1]))
+                held = [rows[:, cut:].copy()]
+                yield solve(rows[:, :cut])
     if held:
         yield solve(np.concatenate(held, axis=1))
 
@@ -259,12 +262,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     found = rows.select("doc_id", "th", "text").where(F.octet_length("text") >= match)
     found = materialize(found.mapInArrow(_occurrences(match), "doc_id long, th long, first long, size int, v long, c long"), "anchors")
-    often = found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    # As a table of its own, so that the join can split an anchor that very many rows share.
+    often = materialize(found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v"), "anchors-often")
     found = materialize(found.join(often, "v", "left_semi"), "anchors-again")
 
     contexts = found.groupBy("v", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("doc_id", "th", "first", "size")])
     contexts = materialize(contexts, "contexts")
     per_anchor = contexts.groupBy("v").agg(F.count("*").alias("different"), F.sum("size").alias("bytes")).where("different > 1")
+    per_anchor = materialize(per_anchor, "anchors-several")
     total = per_anchor.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
     several = contexts.join(per_anchor, "v")
@@ -283,14 +288,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bound = bound.repartition(1)
     sharded = bound.dropDuplicates(["shard", "v", "c"]).sortWithinPartitions("shard", "v", "c")
     solved = sharded.mapInArrow(_by_shard(match), "v long, c long, lo long, hi long, d1 long, d2 long")
-    solved = materialize(solved, "windows")
-
-    inside = solved.where("d1 is null").select("v", "c", "lo", "hi")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    apart = solved.where("d1 is not null").select("d1", "d2", F.lit(0).cast("long").alias("shard"), "v", "c", "lo", "hi")
-    apart = apart.repartition(parts, "d1").sortWithinPartitions("d1", "d2").mapInArrow(_across_shards, "v long, c long, lo long, hi long")
+    solved = solved.repartition(parts, F.coalesce("d1", F.xxhash64("v", "c"))).sortWithinPartitions("d1", "d2")
+    inside = solved.mapInArrow(_across_shards, "v long, c long, lo long, hi long")
     copies = contexts.where("n > 1").select("v", "c", F.lit(0).cast("long").alias("lo"), (F.col("size") - match).cast("long").alias("hi"))
-    windows = copies.union(inside).union(apart)
+    windows = copies.union(inside)
     spans = found.join(windows, ["v", "c"]).select(
         "doc_id", "th", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + match).alias("hi")
     )
