@@ -215,16 +215,19 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     seen = materialize(rows.mapInArrow(_digests, "page_id long, sha1 string, sha256 binary, n long"), "warc-digests")
-    most = seen.groupBy("sha256").agg(F.max("page_id").alias("origin"))
-    again = seen.join(most, "sha256").where(~F.col("page_id").eqNullSafe(F.col("origin")) & F.col("origin").isNotNull())
-    again = again.select("page_id", "sha1", "origin").distinct()
+    most = seen.groupBy("sha256").agg(F.max("page_id").alias("origin"), F.count("*").alias("copies"))
+    most = most.where("copies > 1 and origin is not null").select("sha256", "origin")
     # The original's URL stands in the revisit; ids that repeat give their smallest URL.
-    urls = rows.join(again.select(F.col("origin").alias("page_id")).distinct(), "page_id", "left_semi").groupBy("page_id").agg(F.min("url").alias("origin_url"))
-    again = materialize(again.join(urls.withColumnRenamed("page_id", "origin"), "origin"), "warc-revisits")
+    urls = rows.select(F.col("page_id").alias("origin"), F.col("url").alias("origin_url"))
+    most = materialize(most.join(urls, "origin").groupBy("sha256", "origin").agg(F.min("origin_url").alias("origin_url")), "warc-origins")
+    again = seen.join(most, "sha256").where(~F.col("page_id").eqNullSafe(F.col("origin")))
+    again = materialize(again.select("page_id", "sha1", "origin", "origin_url").distinct(), "warc-revisits")
     files = max(1, math.ceil((seen.agg(F.sum("n")).first()[0] or 0) / FILE_BYTES))
-    dealt = rows.withColumn("s", F.sha1(F.col("html").cast("binary"))).repartition(files, "page_id", "s")
-    again = again.withColumnRenamed("page_id", "p").repartition(files, "p", "sha1")
-    joined = dealt.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("s") == F.col("sha1")), "left")
+    # One key of id and payload on both sides, so that the pages are dealt once: to files, and to their revisits.
+    key = lambda sha1: F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), sha1)
+    dealt = rows.withColumn("k", key(F.sha1(F.col("html").cast("binary")))).repartition(files, "k")
+    again = again.select(key(F.col("sha1")).alias("k"), "origin", "origin_url").repartition(files, "k")
+    joined = dealt.join(again, "k", "left")
     records = joined.select("page_id", "url", "html", "origin", "origin_url").mapInArrow(_records, "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
