@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links)
     grouped = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least_id", "fp_docs", F.coalesce("component", "fp").alias("component"))
     named = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = grouped.join(named, "component").select("fp", "component", "component_id", "fp_docs")
+    # As a table of its own, so that the join with the documents can split a fingerprint that very many share.
+    named = materialize(grouped.join(named, "component").select("fp", "component", "component_id", "fp_docs"), "simhash-named")
     return fps.join(named, "fp").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp_docs", "component", "th"
     )
