@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, each_text, keep_rows, materialize, row_hash, slices
 from .golay import Golay
+from .similar_sets import set_links, set_marks
 
 #: Texts are cut into words in pieces of about this many bytes, so that a very long text needs little memory.
 PIECE = 1 << 20
@@ -64,16 +65,16 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def fingerprint(raw: bytes) -> int:
+def fingerprint(raw: bytes, size: int = 3) -> int:
     """64 bits, each set if it is set in over half the shingle hashes; 0 without words.  Signed."""
     counts, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(raw):
+    for h in shingle_hashes(raw, size):
         counts += bit_counts(h)
         n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(doc_id, fp, th): the fingerprint as a signed 64-bit number, and a hash of the text as it stands."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_hash(F.col(text_col)).alias("th"))
 
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         for batch in slices(batches):
-            fps = [fingerprint(t) for t in each_text(batch.column(1))]
+            fps = [fingerprint(t, size) for t in each_text(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], ["doc_id", "fp", "th"])
 
     return picked.mapInArrow(work, "doc_id long, fp long, th long")
@@ -264,7 +265,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return sorted_runs.mapInArrow(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
     """One row for each document: doc_id, fp, fingerprint (16 hex digits), component_id, fp_docs, component, th.
 
     ``component`` is the smallest fingerprint that links reach: it tells components apart even where ids repeat.
@@ -278,10 +279,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts and texts without words have fingerprint zero and link like any other.  Repeated ids are separate
     rows of one component.  Rows with a null id take part but never name a component unless it has no id at all.
     An empty table gives an empty result.  Other columns are ignored.
+
+    With a ``similarity``, documents link when the Jaccard similarity of their sets of shingles of ``size`` words is
+    that or more (``similar_sets``); ``fp`` is then a hash of the set, and texts without words have the same set.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("fp_docs")), "simhash-fp")
-    links = materialize(fingerprint_links(distinct), "simhash-links")
+    counted = [F.min("doc_id").alias("least_id"), F.count("*").alias("fp_docs")]
+    if similarity is None:
+        fps = materialize(fingerprints(docs, id_col, text_col, size), "simhash")
+        distinct = materialize(fps.groupBy("fp").agg(*counted), "simhash-fp")
+        links = materialize(fingerprint_links(distinct), "simhash-links")
+    else:
+        fps = materialize(set_marks(docs, size, similarity, id_col, text_col), "similar")
+        distinct = materialize(fps.groupBy("fp").agg(*counted, F.min("th").alias("th"), F.first("size").alias("size"), F.first("bins").alias("bins")), "similar-fp")
+        links = set_links(fps, distinct, docs, size, similarity, text_col)
     parts = connected_components(links)
     grouped = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least_id", "fp_docs", F.coalesce("component", "fp").alias("component"))
     named = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -292,9 +302,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id."""
-    near = near_duplicates(docs, id_col, text_col)
+    near = near_duplicates(docs, id_col, text_col, size, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     stays = near.groupBy("component").agg(F.min(order).alias("s")).select("s.doc_id", "s.th")
     return keep_rows(docs, stays, id_col, text_col)
