@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, folder: str, sample: DataFrame, pattern: str = "events.parquet") -> DataFrame:
-    """The files of a folder as a stream; times without a zone count as UTC, so that they can carry a watermark."""
-    stream = spark.readStream.schema(sample.schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
+    """The table of a folder as a stream; times without a zone count as UTC, so that they can carry a watermark.
+
+    A stream reads folders only: a table that is a folder is read as such, one that is a file by its name.
+    """
+    files = [f.rsplit("/", 2)[-2:] for f in sample.inputFiles()]
+    reader = spark.readStream.schema(sample.schema)
+    if len(files) == 1 and files[0][1] == pattern and files[0][0] != pattern:
+        stream = reader.option("pathGlobFilter", pattern).parquet(folder)
+    else:
+        stream = reader.parquet(f"{folder}/{pattern}")
     if dict(sample.dtypes)["ts"] != "timestamp_ntz":
         return stream
     return stream.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))"))
