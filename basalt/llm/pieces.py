@@ -15,10 +15,10 @@ from .common import slices, text_buffers
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The model's mark for a space.
 MARK = "▁"
-#: Pieces do not cross a multiple of so many code points inside one word; it bounds the forward weights.
-BLOCK = 64
-#: Code points in work at a time.
-CHUNK = 1 << 20
+#: Words of more code points are filtered on their own, so many points at a time.
+LONG, SEGMENT = 64, 1 << 14
+#: Code points in work at a time; a longer word goes alone.
+CHUNK = 1 << 19
 #: Every weight is raised by this for each code point.  All segmentations of a word gain the same, so their
 #: probabilities stay, and the forward sums stay near one.
 TILT = 2.3
@@ -29,8 +29,8 @@ class Lattice:
     """The vocabulary as a trie in a hash table, with a weight for each piece.
 
     A BPE model has merge ranks for scores.  The weight of a piece is the Zipf probability of its rank,
-    1 / (rank + 2.7), to the power ``alpha``.  Pieces that hold the space mark after their first character are
-    left out, as are control pieces.  A character that no piece spells becomes its UTF-8 bytes.
+    1 / (rank + 2.7), to the power ``alpha``.  Control pieces are left out.  A character that no piece spells
+    becomes its UTF-8 bytes.
     """
 
     def __init__(self, model_path: str = MODEL, alpha: float = 1.0) -> None:
@@ -50,7 +50,7 @@ class Lattice:
                 self.byte_ids[value] = i
                 self.bytes_of[i] = bytes([value])
                 continue
-            if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or MARK in piece[1:]:
+            if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 continue
             text = piece.replace(MARK, " ")
             self.bytes_of[i] = text.encode()
@@ -69,7 +69,20 @@ class Lattice:
         length = np.array([len(b.decode("utf-8", "ignore")) for b in self.bytes_of])
         #: Tilted weights; the last is that of a character as bytes.
         self.tilted = np.append(self.weight * np.exp(TILT * length), self.fallback * np.exp(TILT))
+        self.longest = int(length.max())
+        #: All pieces' bytes, one after the other, and where each piece's begin.
+        self.spelled = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.spelled_at = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])
         self.piece_of = np.array(piece_of, np.int32)
+        # Pairs of characters that lie side by side in some piece, over numbers of the characters in longer pieces.
+        texts = [b.decode("utf-8", "ignore") for b in self.bytes_of]
+        seen = sorted({c for t in texts if len(t) > 1 for c in t})
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in seen]] = np.arange(1, len(seen) + 1)
+        self.beside = np.zeros((len(seen) + 1, len(seen) + 1), bool)
+        for t in texts:
+            at = self.number[[ord(c) for c in t]]
+            self.beside[at[:-1], at[1:]] = True
         self.root = np.zeros(0x110000, np.int32)
         for key, node in table.items():
             if key >> 21 == 0:
@@ -84,6 +97,11 @@ class Lattice:
                 slot = (slot + 1) & ((1 << bits) - 1)
             self.keys[slot], self.nodes[slot] = key, node
 
+    def parts(self, points: np.ndarray) -> np.ndarray:
+        """True at each point but the first whose border with the point before no piece crosses."""
+        at = self.number[points]
+        return ~self.beside[at[:-1], at[1:]]
+
     def children(self, nodes: np.ndarray, points: np.ndarray) -> np.ndarray:
         """The node under each node for a code point, or 0."""
         want = (nodes.astype(np.int64) << 21) | points
@@ -106,17 +124,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_starts(points: np.ndarray) -> np.ndarray:
-    """True where a word of the lattice begins: at a space, at a line feed, after one, and every BLOCK points."""
-    new = (points == 32) | (points == 10)
-    new[1:] |= points[:-1] == 10
-    if len(new):
-        new[0] = True
-    at = np.flatnonzero(new)
-    sizes = np.diff(np.append(at, len(points)))
-    for s, z in zip(at[sizes > BLOCK].tolist(), sizes[sizes > BLOCK].tolist(), strict=True):
-        new[s + BLOCK : s + z : BLOCK] = True
-    return new
+def word_starts(lat: Lattice, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where a word of the lattice begins: with a text, and at borders that no piece crosses; words do not bear on each other."""
+    new = np.ones(len(points), bool)
+    new[1:] = lat.parts(points)
+    new[np.cumsum(sizes)[:-1]] = True
+    return np.flatnonzero(new)
+
+
+def _places(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places of the stretches, one stretch after the other."""
+    sizes = end - start
+    return np.arange(int(sizes.sum())) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
 
 
 def distinct_words(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,23 +153,17 @@ def distinct_words(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tu
     heads = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
     first, word = order[heads], np.empty(len(h), np.int64)
     word[order] = np.cumsum(heads) - 1
+    own = _places(start, end)
     shift = np.repeat(start[first[word]] - start, end - start)
-    if (points[np.arange(n) + shift] != points).any() or (end - start != (end - start)[first[word]]).any():
+    # The hash covers the length too, but lengths are compared first: a longer partner's places would not line up.
+    if (end - start != (end - start)[first[word]]).any() or (points[own + shift] != points[own]).any():
         return np.arange(len(start)), np.arange(len(start))
     return word, first
 
 
-def forward(lat: Lattice, points: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """(from, piece, share so far, bounds, group): the edges of the lattice of words, by the place where they end.
-
-    Forward filtering sums, for every place in a word, the weights of all segmentations that reach it; an edge's
-    share is its part of the sum at its end.  ``group`` gives a place's edges, between two bounds.
-    """
-    n = len(points)
-    sizes_of = (end - start).astype(np.int32)
-    room = np.repeat(end.astype(np.int32), sizes_of) - np.arange(n, dtype=np.int32)
-    depth_of = np.arange(n, dtype=np.int32) - np.repeat(start.astype(np.int32), sizes_of)
-    begin, node = np.arange(n, dtype=np.int32), lat.root[points]
+def edges(lat: Lattice, points: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from, size, piece) of all pieces that fit in the room at each point; piece -2 is a character as bytes."""
+    begin, node = np.arange(len(points), dtype=np.int32), lat.root[points]
     froms, sizes, pieces = [], [], []
     length = 1
     while len(begin):
@@ -162,9 +175,9 @@ def forward(lat: Lattice, points: np.ndarray, start: np.ndarray, end: np.ndarray
         sizes.append(np.full(len(has), length, np.int32))
         pieces.append(piece[has])
         if length == 1:
-            spelled = np.zeros(n, bool)
-            spelled[begin[has]] = True
-            bare = np.flatnonzero(~spelled).astype(np.int32)
+            known = np.zeros(len(points), bool)
+            known[begin[has]] = True
+            bare = np.flatnonzero(~known).astype(np.int32)
             froms.append(bare)
             sizes.append(np.ones(len(bare), np.int32))
             pieces.append(np.full(len(bare), -2, np.int32))
@@ -172,23 +185,36 @@ def forward(lat: Lattice, points: np.ndarray, start: np.ndarray, end: np.ndarray
         begin, node = begin[go], node[go]
         node = lat.children(node, points[begin + length].astype(np.int64))
         length += 1
-    frm, size, piece = np.concatenate(froms), np.concatenate(sizes), np.concatenate(pieces)
+    return np.concatenate(froms), np.concatenate(sizes), np.concatenate(pieces)
+
+
+def forward(lat: Lattice, points: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(from, piece, share so far, bounds, group): the edges of the lattice of words, by the place where they end.
+
+    Forward filtering sums, for every place in a word, the weights of all segmentations that reach it; an edge's
+    share is its part of the sum at its end.  ``group`` gives a place's edges, between two bounds.  Words have at
+    most LONG points, which bounds the sums; all words go on together, a place at a time.
+    """
+    n = len(points)
+    sizes_of = (end - start).astype(np.int32)
+    at = np.arange(n, dtype=np.int32)
+    frm, size, piece = edges(lat, points, np.repeat(end.astype(np.int32), sizes_of) - at)
     # By the place in the word that they end at, then by position and length; no two keys are equal.
-    depth = depth_of[frm] + size
+    depth = (at - np.repeat(start.astype(np.int32), sizes_of))[frm] + size
     order = np.argsort((depth.astype(np.int64) << 40) | ((frm + size).astype(np.int64) << 7) | size)
     frm, size, piece, depth = frm[order], size[order], piece[order], depth[order]
     to = frm + size
     weight = lat.tilted[np.where(piece >= 0, piece, len(lat.weight))]
     first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))  # the edges that end at one place lie together
     place = to[first]
-    steps = np.searchsorted(depth[first], np.arange(1, BLOCK + 2))
+    steps = np.searchsorted(depth[first], np.arange(1, LONG + 2))
     reach = np.zeros(n + 1)
     reach[start] = 1.0
     opens = np.zeros(n + 1, bool)
     opens[start] = True
     share = np.empty(len(frm))
     bounds = np.append(first, len(frm))
-    for d in range(BLOCK):
+    for d in range(LONG):
         lo, hi = steps[d], steps[d + 1]
         if lo == hi:
             break
@@ -209,22 +235,80 @@ def forward(lat: Lattice, points: np.ndarray, start: np.ndarray, end: np.ndarray
     return frm, piece, share, bounds, group
 
 
-def sample(lat: Lattice, points: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """The piece that begins at each code point, -1 where none does, -2 for bytes.
+def _segment(lat: Lattice, points: np.ndarray, lo: int, hi: int, before: list[float]):
+    """(sums at the last places, from, piece, share so far, bounds) of the edges that end after ``lo``, up to ``hi``.
+
+    ``before`` has the sums at the last places up to ``lo``, as far back as a piece reaches.  Only their ratios
+    count, so they are scaled whenever they become very large or small: a word may have any length.
+    """
+    begin = max(0, lo - lat.longest + 1)
+    frm, size, piece = edges(lat, points[begin:hi], hi - np.arange(begin, hi))
+    frm = frm + begin
+    to = frm + size
+    keep = np.flatnonzero(to > lo)
+    keep = keep[np.argsort((to[keep].astype(np.int64) << 7) | size[keep])]
+    frm, piece, to = frm[keep], piece[keep], to[keep]
+    weight = lat.tilted[np.where(piece >= 0, piece, len(lat.weight))].tolist()
+    bounds = np.searchsorted(to, np.arange(lo + 1, hi + 2)).tolist()
+    back = (frm - (lo - lat.longest + 1)).tolist()
+    sums, share = list(before), []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        part = [sums[back[k]] * weight[k] for k in range(a, b)]
+        total, so_far = sum(part), 0.0
+        for x in part:
+            so_far += x
+            share.append(so_far / total)
+        sums.append(total)
+        if not 1e-100 < total < 1e100:
+            sums[-lat.longest :] = [x / total for x in sums[-lat.longest :]]
+    last = sums[-lat.longest :]
+    return last, frm.tolist(), piece.tolist(), share, bounds
+
+
+def sample_long(lat: Lattice, points: np.ndarray, draw) -> np.ndarray:
+    """As ``sample_rows``, for one word of any length; ``draw(lo, hi)`` gives the numbers of its places.
+
+    The sums are kept at the ends of segments alone; a segment is filtered again when the way back comes to it.
+    """
+    n = len(points)
+    cuts, held = list(range(0, n, SEGMENT)), [[0.0] * (lat.longest - 1) + [1.0]]
+    for lo in cuts[:-1]:
+        held.append(_segment(lat, points, lo, lo + SEGMENT, held[-1])[0])
+    out, at = np.full(n, -1, np.int32), n
+    for lo, before in zip(reversed(cuts), reversed(held), strict=True):
+        hi = min(n, lo + SEGMENT)
+        _, frm, piece, share, bounds = _segment(lat, points, lo, hi, before)
+        draws = draw(lo, hi).tolist()
+        while at > lo:
+            k, last, u = bounds[at - lo - 1], bounds[at - lo] - 1, draws[at - lo - 1]
+            while share[k] <= u and k < last:
+                k += 1
+            at = frm[k]
+            out[at] = piece[k]
+    return out
+
+
+def sample_rows(lat: Lattice, points: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The piece that begins at each code point, -1 where none does, -2 for bytes; ``sizes`` parts the texts.
 
     The lattice is filtered forward once for each distinct word.  Backward sampling starts at the end of every
     word and picks the last piece by its share of the sum there, then goes on from its start, until the word's
     start.  ``draws`` has a number in [0, 1) for each place, so a draw belongs to a place of a row and not to the
     order of work.
     """
-    start = np.flatnonzero(word_starts(points))
+    out = np.full(len(points), -1, np.int32)
+    start = word_starts(lat, points, sizes)
     end = np.append(start[1:], len(points))
+    long = end - start > LONG
+    for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True):
+        out[s:e] = sample_long(lat, points[s:e], lambda lo, hi, s=s: draws[s + lo : s + hi])
+    start, end = start[~long], end[~long]
+    if not len(start):
+        return out
     word, first = distinct_words(points, start, end)
     sizes = (end - start)[first]
     ends = np.cumsum(sizes)
-    take = np.arange(int(sizes.sum())) + np.repeat(start[first] - (ends - sizes), sizes)
-    frm, piece, share, bounds, group = forward(lat, points[take], ends - sizes, ends)
-    out = np.full(len(points), -1, np.int32)
+    frm, piece, share, bounds, group = forward(lat, points[_places(start[first], end[first])], ends - sizes, ends)
     at, stop = ends[word], (ends - sizes)[word]
     shift = start - stop
     while len(at):
@@ -242,11 +326,46 @@ def sample(lat: Lattice, points: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_batch(lat: Lattice, column, row_keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(piece ids, offsets) of the texts of an Arrow column.  A space goes before each text that is not empty."""
+def _uniform(keys, places: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) for places of rows with these keys."""
+    return (_mix(keys + places.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(11)) * 2.0**-53
+
+
+def _spell(lat: Lattice, picked: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece ids, places where a piece begins, ids of each): pieces as they are, characters as their bytes."""
+    at = np.flatnonzero(picked != -1)
+    chosen, cp = picked[at], points[at]
+    width = np.where(chosen == -2, 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF), 1)
+    flat = np.repeat(chosen, width)
+    raw = np.flatnonzero(chosen == -2)
+    if len(raw):
+        own = cp[raw].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        flat[flat == -2] = lat.byte_ids[np.frombuffer(own, np.uint8)]
+    return flat, at, width
+
+
+def _next_cut(lat: Lattice, points: np.ndarray, at: int) -> int:
+    """The last border of words up to CHUNK points on, or the first one after that, or the end."""
+    to = min(len(points), at + CHUNK)
+    if to == len(points):
+        return to
+    found = np.flatnonzero(lat.parts(points[at : to + 1]))
+    while not len(found) and to < len(points):
+        at, to = to, min(len(points), to + CHUNK)
+        found = np.flatnonzero(lat.parts(points[at : to + 1]))[:1]
+    return at + 1 + int(found[-1]) if len(found) else len(points)
+
+
+def encode_batch(lat: Lattice, column, row_keys: np.ndarray, seed: int, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(piece ids, offsets) of the texts of an Arrow column.  A space goes before each text that is not empty.
+
+    Draws come from the row's key, its copy number if there is one, the place and the seed.
+    """
     data, offsets = text_buffers(column)
     ids, counts = [], np.zeros(len(offsets) - 1, np.int64)
     keys = _mix(row_keys.astype(np.int64).view(np.uint64) * np.uint64(_MUL) + np.uint64(seed))
+    if copies is not None:
+        keys = np.where(copies > 0, _mix(keys + copies.astype(np.uint64)), keys)
     held: list[np.ndarray] = []
     owner: list[tuple[int, int, int]] = []  # (row, points, place of the first in the text)
     gathered = 0
@@ -258,20 +377,12 @@ def encode_batch(lat: Lattice, column, row_keys: np.ndarray, seed: int) -> tuple
         points = np.concatenate(held)
         sizes = np.array([o[1] for o in owner])
         place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes - np.array([o[2] for o in owner]), sizes)
-        noise = _mix(np.repeat(keys[[o[0] for o in owner]], sizes) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        picked = sample(lat, points, (noise >> np.uint64(11)) * 2.0**-53)
-        at = np.flatnonzero(picked != -1)
-        chosen, cp = picked[at], points[at]
-        width = np.where(chosen == -2, 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF), 1)
-        flat = np.repeat(chosen, width)
-        raw = np.flatnonzero(chosen == -2)
-        if len(raw):
-            spelled = np.frombuffer("".join(map(chr, cp[raw].tolist())).encode("utf-8", "surrogatepass"), np.uint8)
-            flat[flat == -2] = lat.byte_ids[spelled]
+        # Words end with their text: a stretch of another row is another lattice.
+        picked = sample_rows(lat, points, sizes, _uniform(np.repeat(keys[[o[0] for o in owner]], sizes), place))
+        flat, at, width = _spell(lat, picked, points)
         ids.append(flat)
         part = np.repeat(np.arange(len(owner)), sizes)[at]
-        per = np.bincount(part, weights=width, minlength=len(owner)).astype(np.int64)
-        np.add.at(counts, [o[0] for o in owner], per)
+        np.add.at(counts, [o[0] for o in owner], np.bincount(part, weights=width, minlength=len(owner)).astype(np.int64))
         held, owner, gathered = [], [], 0
 
     for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -280,13 +391,18 @@ def encode_batch(lat: Lattice, column, row_keys: np.ndarray, seed: int) -> tuple
         points = np.frombuffer((" " + data[a:b].tobytes().decode("utf-8", "surrogatepass")).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = 0
         while at < len(points):
-            to = min(len(points), at + CHUNK)
-            if to < len(points):  # cut a very long text where a word begins
-                cut = np.flatnonzero(word_starts(points[at:to]))
-                to = at + int(cut[-1]) if cut[-1] > 0 else to
-            held.append(points[at:to])
-            owner.append((r, to - at, at))
-            gathered += to - at
+            to = _next_cut(lat, points, at)
+            if to - at > 2 * CHUNK:  # one word
+                flush()
+                own = points[at:to]
+                picked = sample_long(lat, own, lambda lo, hi, at=at, r=r: _uniform(keys[r], np.arange(at + lo, at + hi)))
+                flat, _, _ = _spell(lat, picked, own)
+                ids.append(flat)
+                counts[r] += len(flat)
+            else:
+                held.append(points[at:to])
+                owner.append((r, to - at, at))
+                gathered += to - at
             at = to
             if gathered >= CHUNK:
                 flush()
@@ -295,10 +411,17 @@ def encode_batch(lat: Lattice, column, row_keys: np.ndarray, seed: int) -> tuple
     return flat, np.concatenate([[0], np.cumsum(counts)])
 
 
-def decode_ids(lat: Lattice, ids: list[int]) -> str:
-    """The text of piece ids: their bytes joined, without the space that encoding put first."""
-    table = lat.bytes_of
-    return b"".join([table[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+def decoded(lat: Lattice, ids: np.ndarray) -> bytes:
+    """The UTF-8 text of piece ids: their bytes joined, without the space that encoding put first."""
+    out = []
+    for lo in range(0, len(ids), CHUNK):
+        part = ids[lo : lo + CHUNK]
+        out.append(lat.spelled[_places(lat.spelled_at[part], lat.spelled_at[part + 1])].tobytes())
+    return b"".join(out)[1:]
+
+
+def decode_ids(lat: Lattice, ids) -> str:
+    return decoded(lat, np.asarray(ids, np.int64)).decode("utf-8", "surrogatepass")
 
 
 def _lattice(spark, model_path: str, alpha: float):
@@ -342,11 +465,26 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "piece_ids").mapInArrow(work, "doc_id long, text string")
 
 
-def with_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, alpha: float = 1.0, seed: int = 7) -> DataFrame:
+def _copy_numbers(ids: list, texts, before: list) -> np.ndarray:
+    """How many rows directly before each one have its id and text; ``before`` holds the last row and its number."""
+    out = np.zeros(len(ids), np.int64)
+    for r, i in enumerate(ids):
+        if before and before[0] == i and before[1].equals(texts[r]):
+            before[2] += 1
+        else:
+            before[:] = [i, texts[r], 0]
+        out[r] = before[2]
+    return out
+
+
+def with_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, alpha: float = 1.0, seed: int = 7, copies: bool = False) -> DataFrame:
     """The documents with all their columns and n_pieces, piece_ids, decoded_chars, decoded_sha256, lossless.
 
     Each text is encoded, its pieces decoded, and the result held against the text.  Null texts count as empty:
     no pieces, and the empty text back.  Columns that already have one of the new names are replaced.
+
+    With ``copies``, repetitions of a document that lie one after the other, as a mix of sources writes them, get
+    samples of their own: the draws are seeded by id and repetition.  Without, equal rows get equal pieces.
     """
     from pyspark.sql import types as T
 
@@ -362,18 +500,17 @@ def with_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def work(batches):
         import pyarrow as pa
 
+        before: list = []
         for batch in by_bytes(batches, 1 << 20, text_at):
-            keys = np.asarray(batch.column(id_at).cast(pa.int64()).fill_null(0), np.int64)
-            texts = batch.column(text_at)
-            flat, offsets = encode_batch(held.value, texts, keys, seed)
+            ids, texts = batch.column(id_at).cast(pa.int64()), batch.column(text_at)
+            numbers = _copy_numbers(ids.to_pylist(), texts, before) if copies else None
+            flat, offsets = encode_batch(held.value, texts, np.asarray(ids.fill_null(0), np.int64), seed, numbers)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            ids, cuts = flat.tolist(), offsets.tolist()
             data, at = text_buffers(texts)
             sizes, digests, same = [], [], []
             for r in range(batch.num_rows):
-                back = decode_ids(held.value, ids[cuts[r] : cuts[r + 1]])
-                raw = back.encode("utf-8", "surrogatepass")
-                sizes.append(len(back))
+                raw = decoded(held.value, flat[offsets[r] : offsets[r + 1]])
+                sizes.append(int(np.count_nonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
                 digests.append(hashlib.sha256(raw).hexdigest())
                 same.append(raw == data[at[r] : at[r + 1]].tobytes())
             columns = [*batch.columns, pa.array(np.diff(offsets)), lists, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
