@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,17 +24,60 @@ def fold_table() -> np.ndarray:
     return out
 
 
-def folded(column) -> tuple[np.ndarray, np.ndarray]:
-    """(folded code points, offsets) of an Arrow string column; a 0 follows each text."""
+#: Bytes of a text that are in work at a time.
+PIECE = 1 << 20
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Cuts of texts: the text of each, folded code points with a 0 after each cut, offsets, and how many are its own.
+
+    What follows a cut's own points is from the next cut of the same text, for those who look ahead.
+    """
+
+    rows: np.ndarray
+    points: np.ndarray
+    offsets: np.ndarray
+    own: np.ndarray
+
+
+def folded_pieces(column, ahead: int = 2):
+    """The texts of an Arrow string column in order, about PIECE bytes at a time; a text may go over several cuts.
+
+    Only the last cut of a text counts the 0 after it as its own.
+    """
     data, offsets = text_buffers(column)
-    parts, sizes = [], []
-    zero = b"\0\0\0\0"
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        raw = data[a:b].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
-        parts += [raw, zero]
-        sizes.append(len(raw) // 4 + 1)
-    points = np.frombuffer(b"".join(parts), np.uint32)
-    return fold_table()[points], np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+    begins = lambda at: data[at] & 0xC0 != 0x80
+    held: list[tuple[int, bytes, int]] = []
+    gathered = 0
+
+    def flush():
+        points = np.frombuffer(b"".join(x for _, raw, _ in held for x in (raw, b"\0\0\0\0")), np.uint32)
+        sizes = np.array([len(raw) // 4 + 1 for _, raw, _ in held])
+        rows, own = (np.array([h[k] for h in held]) for k in (0, 2))
+        return Pieces(rows, fold_table()[points], np.concatenate([[0], np.cumsum(sizes)]), own)
+
+    for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        at, done = a, False
+        while not done:
+            to = min(b, at + PIECE)
+            while to < b and not begins(to):
+                to += 1
+            end, done = to, to == b
+            for _ in range(ahead):
+                end = min(b, end + 1)
+                while end < b and not begins(end):
+                    end += 1
+            raw = data[at:end].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+            own = len(raw) // 4 + 1 if done else int(np.count_nonzero(data[at:to] & 0xC0 != 0x80))
+            held.append((r, raw, own))
+            gathered += to - at
+            at = to
+            if gathered >= PIECE:
+                yield flush()
+                held, gathered = [], 0
+    if held:
+        yield flush()
 
 
 def sum_by(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
