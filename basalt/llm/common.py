@@ -69,16 +69,30 @@ def row_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """A table's columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose (doc_id, th) is among the keys, with their own columns; of rows alike in both, one."""
-    wanted = keys.select(F.col("doc_id").alias("_key_id"), F.col("th").alias("_key_th")).distinct()
-    marked = docs.withColumn("_th", row_hash(F.col(text_col)))
-    found = marked.join(wanted, marked[id_col].eqNullSafe(wanted["_key_id"]) & (marked["_th"] == wanted["_key_th"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, "_th").orderBy(F.lit(0)))
-    return found.withColumn("_copy", first).where("_copy = 1").select(*docs.columns)
+    th, key_id, key_th, copy = (unused(n, docs) for n in ("_th", "_key_id", "_key_th", "_copy"))
+    wanted = keys.select(F.col("doc_id").alias(key_id), F.col("th").alias(key_th)).distinct()
+    marked = docs.withColumn(th, row_hash(F.col(text_col)))
+    found = marked.join(wanted, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(th) == F.col(key_th)), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col, th).orderBy(F.lit(0)))
+    return found.withColumn(copy, first).where(F.col(copy) == 1).select(*all_columns(docs))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges; the component is its smallest node.
 
     Alternating large-star and small-star: rounds grow with the logarithm of the longest chain.  Each half
@@ -92,9 +106,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     )
     pairs = materialize(pairs, "cc")
     state = _digest(pairs)
-    for _ in range(most_rounds):
-        if state[0] == 0:
-            break
+    while state[0]:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -107,8 +119,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 

@@ -33,8 +33,9 @@ def exact_dedup(
 
     Null texts count as empty and form a group.  Rows that repeat an id count as separate rows of the group;
     all rows of the id that stays are marked kept only once per (id, length): the copies of an identical row
-    are told apart by nothing, so each carries the same mark.  An empty table gives an empty result.  Other
-    columns, whatever their names, are ignored.
+    are told apart by nothing, so each carries the same mark.  A null id comes after all others; where the longest
+    texts have no other, ``keep_id`` is null.  An empty table gives an empty result.  Other columns, whatever their
+    names, are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -55,6 +56,7 @@ def exact_dedup(
         F.first("keep_id").alias("keep_id"),
         F.first("keep_chars").alias("keep_chars"),
         F.first("group_size").alias("group_size"),
+        F.lit(True).alias("grouped"),
     )
     per_hash = materialize(per_hash, "dedup-classes")
     found = keys.join(per_hash.where("n_classes = 1").drop("n_classes"), "h", "left")
@@ -62,9 +64,9 @@ def exact_dedup(
     if not collided.isEmpty():
         sure = found.join(collided, "h", "left_anti")
         mixed = rows.join(collided, "h", "left_semi")
-        mixed = mixed.withColumn("text_sha256", F.sha2(F.col("normal"), 256)).join(classes, ["h", "normal"])
+        mixed = mixed.withColumn("text_sha256", F.sha2(F.col("normal"), 256)).join(classes.withColumn("grouped", F.lit(True)), ["h", "normal"])
         found = sure.unionByName(mixed.select(*sure.columns))
-    keep = F.coalesce(F.col("keep_id"), F.col("doc_id"))
+    keep = F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id"))  # the id that stays may be null
     return found.select(
         "doc_id",
         keep.alias("keep_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash, word_count
+from .common import all_columns, materialize, row_hash, unused, word_count
 
 #: Weights dealt to the sources in order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -110,13 +110,14 @@ def mix_sources(
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; columns as they were.
+    """The documents themselves, each as often as the mix takes it, one repetition after the other; columns as they were.
 
     Rows alike in id and text are taken as often as the one of them that is taken most.
     """
-    times = mixed.where("repeats > 0").groupBy("doc_id", "th").agg(F.max("repeats").alias("_repeats"))
-    times = times.select(F.col("doc_id").alias("_key_id"), F.col("th").alias("_key_th"), "_repeats")
-    marked = docs.withColumn("_th", row_hash(F.col(text_col)))
-    joined = marked.join(times, marked[id_col].eqNullSafe(times["_key_id"]) & (marked["_th"] == times["_key_th"]))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int"))).alias("_copy")
-    return joined.select(*[marked[c] for c in docs.columns], copies).drop("_copy")
+    th, key_id, key_th, repeats, copy = (unused(n, docs) for n in ("_th", "_key_id", "_key_th", "_repeats", "_copy"))
+    times = mixed.where("repeats > 0").groupBy("doc_id", "th").agg(F.max("repeats").alias(repeats))
+    times = times.select(F.col("doc_id").alias(key_id), F.col("th").alias(key_th), repeats)
+    marked = docs.withColumn(th, row_hash(F.col(text_col)))
+    joined = marked.join(times, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(th) == F.col(key_th)))
+    copies = F.explode(F.sequence(F.lit(1), F.col(repeats).cast("int"))).alias(copy)
+    return joined.select(*all_columns(docs), copies).drop(copy)
