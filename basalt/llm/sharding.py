@@ -27,7 +27,7 @@ def shard_documents(
     bucket's bits as text ("" when all fit in one).
 
     Byte counts are first summed in fine cells, about eight for each limit, which combine map-side.  The cells
-    roll up to every shorter prefix, and the directory takes for each cell the shortest prefix that fits.  Cells
+    roll up to shorter prefixes, a few bits at a time, and the directory holds the shortest prefixes that fit.  Cells
     that are still too large (a run of long documents) are split again with more bits until they fit.
 
     A bucket that cannot be split stays whole: a document larger than the limit has a shard of its own, as have
@@ -49,16 +49,16 @@ def shard_documents(
         bits = min(bits, HASH_BITS)
         cells = open_rows.groupBy(cut(bits).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         cells = materialize(cells, "shard-cells")
-        depth = F.explode(F.sequence(F.lit(low), F.lit(bits))).alias("depth")
-        spread = cells.select("cell", "b", "n", "lo", "hi", depth).withColumn("prefix", F.expr(f"shiftrightunsigned(cell, cast({bits} - depth as int))"))
-        sums = spread.groupBy("depth", "prefix").agg(
-            F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-        )
-        # A prefix is a leaf when it fits, or when all in it share one hash value and cannot be split.
-        leaf = sums.where((F.col("shard_bytes") <= limit_bytes) | (F.col("lo") == F.col("hi"))).drop("lo", "hi")
-        fits = spread.select("cell", "depth", "prefix").join(leaf, ["depth", "prefix"])
-        best = fits.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("best"))
-        directory = materialize(best.select("cell", "best.*"), "shard-directory")
+        nodes = _prefix_sums(cells, low, bits)
+        # A prefix fits when its bytes do, or when all in it share one hash value and cannot be split.  It is a leaf of
+        # the directory when it fits and the prefix before it, one bit shorter, does not.
+        fits = (F.col("shard_bytes") <= limit_bytes) | (F.col("lo") == F.col("hi"))
+        parents = nodes.where(fits).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
+        leaves = nodes.where(fits).withColumn("above", F.shiftright("prefix", 1)).join(parents, ["depth", "above"], "left_anti")
+        shift = F.lit(bits) - F.col("depth")
+        ends = [F.expr(f"shiftleft({p}, cast({bits} - depth as int))") for p in ("prefix", "prefix + 1")]
+        within = F.when(shift == 0, F.array("prefix")).otherwise(F.sequence(ends[0], ends[1] - 1))
+        directory = materialize(leaves.select(F.explode(within).alias("cell"), "depth", "prefix", "shard_bytes", "shard_docs"), "shard-directory")
         settled.append((bits, directory))
         more = cells.join(directory.select("cell"), "cell", "left_anti").select("cell")
         if bits == HASH_BITS or more.isEmpty():
@@ -79,6 +79,23 @@ def shard_documents(
     return found.select("doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), name.alias("shard"), "shard_bytes", "shard_docs")
 
 
+def _prefix_sums(cells: DataFrame, low: int, bits: int, step: int = 4) -> DataFrame:
+    """(depth, prefix, shard_bytes, shard_docs, lo, hi) of every prefix of ``low`` to ``bits`` bits.
+
+    Each level is summed from the next longer one that is written, so all levels together cost about ``step`` rows
+    for each cell, whatever the number of bits.
+    """
+    sums = [F.sum("shard_bytes").alias("shard_bytes"), F.sum("shard_docs").alias("shard_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    at = cells.select(F.lit(bits).alias("depth"), F.col("cell").alias("prefix"), F.col("b").alias("shard_bytes"), F.col("n").alias("shard_docs"), "lo", "hi")
+    found, depth = at, bits
+    while depth > low:
+        to = max(low, depth - step)
+        spread = at.withColumn("to", F.explode(F.sequence(F.lit(to), F.lit(depth - 1)))).withColumn("prefix", F.expr(f"shiftright(prefix, cast({depth} - to as int))"))
+        level = materialize(spread.groupBy(F.col("to").alias("depth"), "prefix").agg(*sums), "shard-level")
+        found, at, depth = found.unionByName(level), level.where(F.col("depth") == to), to
+    return found
+
+
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """Writes the documents as one folder for each shard; ids must be unique."""
     by = assigned.select(F.col("doc_id").alias("_id"), "shard")

@@ -8,7 +8,7 @@ import re
 import sys
 
 import pytest
-from basalt.llm import common, exact_dedup, mixing, queries, sharding
+from basalt.llm import common, exact_dedup, mixing, queries, sharding, simhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
@@ -160,3 +160,31 @@ def test_word_count(spark):
     texts = ["a b", "", None, "  x\ty\n", " ", "one\x0btwo\x0cthree\r", "é" * 5]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", common.word_count(F.col("t")).alias("n")).collect()
     assert [r.n for r in rows] == [size(t) for t in texts]
+
+
+def test_null_id_that_stays(spark, make):
+    """The longest text has no id: the others know that they go, and to whom."""
+    got = sorted(map(tuple, exact_dedup.exact_dedup(make(spark, ["a b ", "ab", "c"], [None, 1, 2])).select("doc_id", "keep_id", "group_size", "kept").collect()), key=repr)
+    assert got == sorted([(None, None, 2, True), (1, None, 2, False), (2, 2, 1, True)], key=repr)
+    assert [r.doc_id for r in exact_dedup.drop_copies(make(spark, ["a b ", "ab"], [None, 1])).collect()] == [None]
+
+
+NAMES = "_th int, _copy int, _repeats int, _key_id int, _key_th int, `dotted.name` int"
+
+
+def test_clashing_names_keep_their_values(spark):
+    """Columns named like those that the operators add come back as they were, from every stage that keeps rows."""
+    rows = [(i, f"text number {i % 6} of some length here", "s", 7, 8, 9, 10 + i, 11, 12) for i in range(12)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {NAMES}")
+    for kept in (exact_dedup.drop_copies(docs), simhash.drop_near_copies(docs), simhash.drop_near_copies(docs, size=5, similarity=0.8), mixing.repeat_rows(docs, mixing.mix_sources(docs))):
+        assert kept.columns == docs.columns
+        found = [tuple(r) for r in kept.collect()]
+        assert found and set(found) <= set(rows)
+
+
+def test_prefix_sums_of_any_step(spark, make, monkeypatch):
+    docs = make(spark, [f"text {i} " * (i % 9) for i in range(150)])
+    whole = sorted(map(tuple, sharding.shard_documents(docs, limit_bytes=300).collect()))
+    deep = sharding._prefix_sums
+    monkeypatch.setattr(sharding, "_prefix_sums", lambda cells, low, bits: deep(cells, low, bits, 1))
+    assert sorted(map(tuple, sharding.shard_documents(docs, limit_bytes=300).collect())) == whole
