@@ -9,14 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .codes import by_bytes
 
 #: Code points in a k-mer, k-mers in a tuple, tuples in a signature.
 KMER, TUPLE, SKETCHES = 8, 2, 32
 #: Columns of the (sketch x k-mer) table that are in work at a time.
 BLOCK = 1 << 15
-#: Most ranges of ids; their lower bounds are sent to every task, so 8 bytes each bound the broadcast.
-MOST_RANGES = 20_000
+#: k-mers that are in work at a time; those of a longer text are taken in turns, by the first bits of their hash.
+MOST_KMERS = 1 << 21
+#: Most ranges of ids; their lower bounds are sent to every task, so 8 bytes each bound the broadcast.  With more rows
+#: than ranges x ``rows_each`` the ranges grow; a task streams its range, so its memory does not.
+MOST_RANGES = 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -60,33 +63,57 @@ def numbered(h: np.ndarray) -> np.ndarray:
     if new.all():
         return h
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    if (h[pos] != h[pos[first]]).any():  # different k-mers whose hashes begin alike
+        pos = np.argsort(h, kind="stable")
+        new = np.concatenate([[True], h[pos[1:]] != h[pos[:-1]]])
+        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     out = h.copy()
     again = ~new
     out[pos[again]] = mix64(h[pos[again]] + (np.arange(n) - first)[again].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return out
 
 
+def _kmers(text: str, turn: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the text's k-mers whose hash starts with the bits of ``turn``, in text order."""
+    found, places = [], []
+    step = MOST_KMERS if bits else len(text)
+    for at in range(0, max(1, len(text) - KMER + 1), step):
+        points = np.frombuffer(text[at : at + step + KMER - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = kmer_hashes(points)
+        own = np.flatnonzero(h >> np.uint64(64 - bits) == turn) if bits else np.arange(len(h))
+        found.append(h[own])
+        places.append(own + at)
+    return np.concatenate(found), np.concatenate(places)
+
+
 def signature(text: str) -> np.ndarray:
-    """SKETCHES hashes of 32 bits; zeros for the empty text."""
+    """SKETCHES hashes of 32 bits; zeros for the empty text.
+
+    Equal k-mers fall in the same turn, so their numbers do not depend on the turns, and neither do the minima.
+    """
     if not text:
         return np.zeros(SKETCHES, np.uint32)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = numbered(kmer_hashes(points))
-    small = (h >> np.uint64(32)).astype(np.uint32)
+    bits = max(0, (len(text) // MOST_KMERS).bit_length())
     rows = np.arange(SKETCHES)
-    value = np.full((SKETCHES, 0), 0, np.uint32)
-    place = np.full((SKETCHES, 0), 0, np.int64)
-    for at in range(0, len(small), BLOCK):
-        part = small[None, at : at + BLOCK] * _MUL[:, None] + _ADD[:, None]
-        for _ in range(min(TUPLE, part.shape[1])):
-            best = part.argmin(1)
-            value = np.concatenate([value, part[rows, best][:, None]], 1)
-            place = np.concatenate([place, (best + at)[:, None]], 1)
-            part[rows, best] = np.uint32(0xFFFFFFFF)
-        if value.shape[1] > TUPLE:
-            keep = np.argsort(value, 1, kind="stable")[:, :TUPLE]
-            value, place = np.take_along_axis(value, keep, 1), np.take_along_axis(place, keep, 1)
-    chosen = h[np.sort(place, 1)]  # in text order
+    value, place, chosen = np.zeros((SKETCHES, 0), np.uint32), np.zeros((SKETCHES, 0), np.int64), np.zeros((SKETCHES, 0), np.uint64)
+    for turn in range(1 << bits):
+        h, where = _kmers(text, turn, bits)
+        if not len(h):
+            continue
+        h = numbered(h)
+        small = (h >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(small), BLOCK):
+            part = small[None, at : at + BLOCK] * _MUL[:, None] + _ADD[:, None]
+            for _ in range(min(TUPLE, part.shape[1])):
+                best = part.argmin(1)
+                value = np.concatenate([value, part[rows, best][:, None]], 1)
+                place = np.concatenate([place, where[best + at][:, None]], 1)
+                chosen = np.concatenate([chosen, h[best + at][:, None]], 1)
+                part[rows, best] = np.uint32(0xFFFFFFFF)
+            if value.shape[1] > TUPLE:  # the smallest values, of equal ones the first places
+                keep = np.lexsort((place, value))[:, :TUPLE]
+                value, place, chosen = (np.take_along_axis(x, keep, 1) for x in (value, place, chosen))
+    chosen = np.take_along_axis(chosen, np.argsort(place, 1), 1)  # in text order
     out = np.full(SKETCHES, 0x9E3779B97F4A7C15, np.uint64)
     for k in range(chosen.shape[1]):
         out = mix64(out * np.uint64(3) + chosen[:, k])
@@ -184,7 +211,7 @@ def _pairs(batches):
 
     held = None  # (range, id, text, signature) of the document that waits for its next
     lone = None  # the range whose guest has already been met
-    for batch in slices(batches, 256):
+    for batch in by_bytes(batches, column=4):
         out: list[list] = [[] for _ in range(7)]
         ks, guests, ids, _, texts = (c.to_pylist() for c in batch.columns)
         for k, guest, doc_id, text in zip(ks, guests, ids, texts, strict=True):
