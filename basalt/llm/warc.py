@@ -8,6 +8,7 @@ import math
 import re
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,11 @@ ARC_FIELDS = {
 }
 #: When the pages were captured, where nothing says so; 14 digits as in ARC.
 CAPTURED = "20200101000000"
-#: Payload bytes that one archive file takes before compression, on average.
-FILE_BYTES = 16 << 20
+#: Payload bytes that a task writes, on average, and most tasks; then tasks grow, and files end at MOST_FILE_BYTES.
+FILE_BYTES, MOST_TASKS = 16 << 20, 8192
+MOST_FILE_BYTES = 256 << 20
+#: Bytes of a compressed archive that are read at a time.
+READ_BYTES = 1 << 20
 CRLF = b"\r\n"
 
 
@@ -53,8 +57,8 @@ def arc_file(records, version: int, name: str = "pages.arc", date: str = CAPTURE
     return b"".join(out)
 
 
-def parse_arc(data: bytes):
-    """Yields (fields by name, offset, block) of each record after the version block.
+def arc_records(data: bytes):
+    """Yields (fields by name, offset, block) of each record; the first is the version block, as "filedesc://...".
 
     The version block says which fields a URL record has; a record's last field is the length of its block.
     Lines between records may be empty.  A header with another number of fields, a length that is no number and
@@ -80,6 +84,8 @@ def parse_arc(data: bytes):
             lines = block.decode("utf-8", "replace").split("\n")
             version = int(lines[0].split(" ")[0])
             names = (lines[1] if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[version]).split()
+            shown = dict(zip(("URL", "IP-address", "Archive-date", "Content-type"), parts[:4], strict=False))
+            yield {**shown, "Archive-length": parts[-1]}, at, block
         elif len(parts) != len(names):
             raise ValueError(f"ARC record with {len(parts)} fields instead of {len(names)} at byte {at}")
         else:
@@ -87,6 +93,28 @@ def parse_arc(data: bytes):
         at = end + 1 + int(parts[-1])
 
 
+def parse_arc(data: bytes):
+    """Yields (fields by name, offset, block) of each record after the version block."""
+    found = arc_records(data)
+    next(found, None)
+    yield from found
+
+
+def warc_date(text: str | None) -> str | None:
+    """An ARC date as WARC writes it, or None.
+
+    An ARC date is a run of digits, from the year on: 14 to the second, 12 to the minute, down to 4 for the year alone.
+    What is missing is the first month, day, hour, minute or second; digits after the fourteenth are left out.
+    """
+    digits = (text or "").strip()
+    if not digits.isascii() or not digits.isdigit() or len(digits) < 4 or (len(digits) % 2 and len(digits) < 14):
+        return None
+    try:
+        return datetime.strptime((digits + "00000101000000"[len(digits) :])[:14], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    except ValueError:
+        return None
+
+
 def _b32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -110,55 +138,95 @@ def record_id(url: str, date: str, digest: str, page_id) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=seen[:16], version=5)}>"
 
 
-def warc_record(fields: dict, block: bytes, original: tuple | None = None) -> bytes:
+def _record(lines: list[tuple[str, str]], block: bytes) -> bytes:
+    lines = [*lines, ("Content-Length", str(len(block)))]
+    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in lines) + CRLF + block
+
+
+def warc_record(fields: dict, block: bytes, original: tuple | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """A WARC record of an ARC record, without the two line ends that follow a record.
 
+    An HTTP message is a response; any other block (a DNS answer, an FTP file, a page without its headers) is a
+    resource; the version block is the warcinfo.  A date that is none becomes ``date``, and the record keeps what
+    stood there.  Result code, checksum and location of version 2 are kept too.
+
     ``original`` is (page_id, url) of the response that this capture repeats; the record is then a revisit and
     holds the HTTP headers alone, whose Content-Length still is the full payload's.
     """
     head, payload = split_http(block)
     digest, page_id = _b32(payload), http_field(head, "X-Page-Id") or ""
-    date = fields["Archive-date"].ljust(14, "0")
+    url, stamp = fields["URL"], fields.get("Archive-date", "")
+    when = warc_date(stamp)
+    lines = [("WARC-Date", when or date), ("WARC-Record-ID", record_id(url, stamp, digest, page_id))]
+    if url.startswith("filedesc://"):
+        return _warcinfo(lines, url, block)
     kept = head if original else block
+    kind = "revisit" if original else "response" if head else "resource"
     lines = [
-        ("WARC-Type", "revisit" if original else "response"),
-        ("WARC-Target-URI", fields["URL"]),
-        ("WARC-Date", datetime.strptime(date[:14], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")),
-        ("WARC-IP-Address", fields["IP-address"]),
-        ("WARC-Record-ID", record_id(fields["URL"], date, digest, page_id)),
-        ("WARC-Payload-Digest", "sha1:" + digest),
-        ("WARC-Block-Digest", "sha1:" + _b32(kept)),
-        ("Content-Type", "application/http; msgtype=response" if head else fields["Content-type"]),
-    ]
+        ("WARC-Type", kind), ("WARC-Target-URI", url), *lines, ("WARC-IP-Address", fields.get("IP-address", "0.0.0.0")),
+        ("WARC-Payload-Digest", "sha1:" + digest), ("WARC-Block-Digest", "sha1:" + _b32(kept)),
+        ("Content-Type", "application/http; msgtype=response" if head else fields.get("Content-type", "application/octet-stream")),
+    ]
     if original:
         lines += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", record_id(_word(original[1]), date, digest, original[0])),
+            ("WARC-Refers-To", record_id(_word(original[1]), stamp, digest, original[0])),
             ("WARC-Refers-To-Target-URI", _word(original[1])),
             ("X-Refers-To-Page-Id", str(original[0])),
         ]
-    lines.append(("Content-Length", str(len(kept))))
-    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in lines) + CRLF + kept
-
-
-def parse_warc(data: bytes):
-    """Yields (headers, block) of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == CRLF:
-            at += 2
+    if when is None:
+        lines.append(("X-Archive-Date", _word(stamp)))
+    lines += [(f"X-Archive-{k}", fields[k]) for k in ("Result-code", "Checksum", "Location") if fields.get(k, "-") != "-"]
+    return _record(lines, kept)
+
+
+def _warcinfo(lines: list[tuple[str, str]], url: str, block: bytes) -> bytes:
+    """The version block: its name, version, software and fields as application/warc-fields."""
+    text = block.decode("utf-8", "replace").splitlines()
+    version, _, software = (text[0] if text else "").partition(" ")
+    said = [("software", software.removeprefix("0 ").strip() or "unknown"), ("format", "WARC File Format 1.0"), ("isPartOf", url.removeprefix("filedesc://"))]
+    said += [("x-arc-version", version), ("x-arc-fields", text[1].strip() if len(text) > 1 else "")]
+    body = "".join(f"{k}: {v}\r\n" for k, v in said).encode()
+    name = url.removeprefix("filedesc://") or "-"
+    return _record([("WARC-Type", "warcinfo"), ("WARC-Filename", name), *lines, ("WARC-Block-Digest", "sha1:" + _b32(body)), ("Content-Type", "application/warc-fields")], body)
+
+
+def parse_warc(data: bytes | Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """Yields (headers, block) of each record, by declared lengths, of bytes or of chunks of them."""
+    chunks = iter([data] if isinstance(data, bytes) else data)
+    held, base, open_ = bytearray(), 0, True
+
+    def fill(size: int | None, find_from: int = 0) -> int:
+        """Reads on until so many bytes are held, or until a header has its end; returns where the header ends."""
+        nonlocal open_
+        while True:
+            end = held.find(CRLF + CRLF, find_from) if size is None else (0 if len(held) >= size else -1)
+            if end >= 0 or not open_:
+                return end
+            find_from = max(0, len(held) - 3)
+            more = next(chunks, None)
+            open_ = more is not None
+            held.extend(more or b"")
+
+    while True:
+        fill(2)
+        if held[:2] == CRLF:
+            del held[:2]
+            base += 2
             continue
-        end = data.find(CRLF + CRLF, at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        if not held:
+            return
+        end = fill(None)
+        if not held.startswith(b"WARC/") or end < 0:
+            raise ValueError(f"no WARC record at byte {base}")
+        lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"WARC record cut short at byte {at}")
-        yield headers, block
-        at = end + 4 + size
+        stop = end + 4 + int(headers["Content-Length"])
+        if fill(stop) < 0:
+            raise ValueError(f"WARC record cut short at byte {base}")
+        yield headers, bytes(held[end + 4 : stop])
+        del held[:stop]
+        base += stop
 
 
 def _captures(batch):
@@ -222,20 +290,28 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     most = materialize(most.join(urls, "origin").groupBy("sha256", "origin").agg(F.min("origin_url").alias("origin_url")), "warc-origins")
     again = seen.join(most, "sha256").where(~F.col("page_id").eqNullSafe(F.col("origin")))
     again = materialize(again.select("page_id", "sha1", "origin", "origin_url").distinct(), "warc-revisits")
-    files = max(1, math.ceil((seen.agg(F.sum("n")).first()[0] or 0) / FILE_BYTES))
+    size = seen.agg(F.sum("n").alias("bytes"), F.count("*").alias("n")).first()
+    files = min(MOST_TASKS, max(1, math.ceil((size.bytes or 0) / FILE_BYTES)))
+    each = max(1, int(MOST_FILE_BYTES * size.n / max(1, size.bytes or 0)))  # records in a file at their mean size
     # One key of id and payload on both sides, so that the pages are dealt once: to files, and to their revisits.
     key = lambda sha1: F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), sha1)
     dealt = rows.withColumn("k", key(F.sha1(F.col("html").cast("binary")))).repartition(files, "k")
     again = again.select(key(F.col("sha1")).alias("k"), "origin", "origin_url").repartition(files, "k")
     joined = dealt.join(again, "k", "left")
     records = joined.select("page_id", "url", "html", "origin", "origin_url").mapInArrow(_records, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    _write(records, path, each)
+
+
+def _write(records: DataFrame, path: str, each: int = 0) -> None:
+    text = records.select(F.col("record").cast("string"))
+    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, target_uri, date, payload) of WARC archives.
 
-    ``payload`` is null for a revisit; its length comes from the HTTP headers it keeps.
+    ``payload`` is null for a revisit; its length comes from the HTTP headers it keeps.  Of a resource the whole block is
+    the payload; a warcinfo has no row.  An archive is inflated and parsed a record at a time.
     """
 
     def work(batches):
@@ -247,11 +323,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         )
         for batch in batches:
             for content in batch.column(0):
-                raw = content.as_py()
-                if raw[:2] == b"\x1f\x8b":
-                    raw = _inflate(raw)
-                rows: list[dict] = []
-                for headers, block in parse_warc(raw):
+                rows, held = [], 0
+                for headers, block in parse_warc(_inflated(content.as_buffer())):
+                    if headers["WARC-Type"] == "warcinfo":
+                        continue
                     head, payload = split_http(block)
                     revisit = headers["WARC-Type"] == "revisit"
                     number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
@@ -266,9 +341,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         "date": headers["WARC-Date"],
                         "payload": None if revisit else payload,
                     })
-                    if len(rows) == 256:
+                    held += len(block)
+                    if len(rows) == 256 or held > READ_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -276,31 +352,48 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, out)
 
 
-def _inflate(raw: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while raw:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(raw))
-        raw = d.unused_data
-    return b"".join(out)
+def _inflated(raw) -> Iterator[bytes]:
+    """The content of a file, of all its members if it is gzip, in chunks."""
+    view = memoryview(raw)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[at : at + READ_BYTES]) for at in range(0, len(view), READ_BYTES))
+        return
+    at, d = 0, zlib.decompressobj(31)
+    while at < len(view):
+        part = view[at : at + READ_BYTES]
+        at += len(part)
+        part = bytes(part)
+        while part:
+            yield d.decompress(part)
+            part = d.unused_data
+            if d.eof:
+                d = zlib.decompressobj(31)
 
 
 def convert_arc(spark: SparkSession, source: str, path: str) -> None:
-    """ARC files, plain or gzip, to WARC archives with a response for each record."""
+    """ARC files, plain or gzip, to WARC archives: a warcinfo for each file, a response or resource for each record.
+
+    A record whose date is none gets the file's, and if that is none either the first second of 1970.
+    """
 
     def work(batches):
         import pyarrow as pa
 
+        out, held = [], 0
         for batch in batches:
             for content in batch.column(0):
-                raw = content.as_py()
-                raw = _inflate(raw) if raw[:2] == b"\x1f\x8b" else raw
-                for fields, _, block in parse_arc(raw):
-                    yield pa.RecordBatch.from_arrays([pa.array([warc_record(fields, block)], pa.binary())], ["record"])
-
-    records = spark.read.format("binaryFile").load(source).select("content").mapInArrow(work, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+                date = None
+                for fields, _, block in arc_records(b"".join(_inflated(content.as_buffer()))):
+                    date = date or warc_date(fields["Archive-date"]) or "1970-01-01T00:00:00Z"
+                    out.append(warc_record(fields, block, date=date))
+                    held += len(block)
+                    if held > READ_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    _write(spark.read.format("binaryFile").load(source).select("content").mapInArrow(work, "record binary"), path)
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

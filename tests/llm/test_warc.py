@@ -44,6 +44,47 @@ def test_warc_record_of_an_arc_record():
     assert headers["WARC-Record-ID"] == warc.parse_warc(warc.warc_record(fields, block)).__next__()[0]["WARC-Record-ID"]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("19970203040506", "1997-02-03T04:05:06Z"), ("199702030405", "1997-02-03T04:05:00Z"), ("1997020304", "1997-02-03T04:00:00Z"), ("19970203", "1997-02-03T00:00:00Z"), ("199702", "1997-02-01T00:00:00Z"),
+        ("1997", "1997-01-01T00:00:00Z"), ("19970203040506123", "1997-02-03T04:05:06Z"), ("", None), ("-", None), ("19", None), ("19971", None), ("19971340", None), ("199702x3", None), (None, None),
+    ],
+)
+def test_dates(text, want):
+    assert warc.warc_date(text) == want
+
+
+def test_types_of_records():
+    """HTTP is a response, a DNS answer a resource, the version block the warcinfo; version 2 keeps its fields."""
+    found = {}
+    for fields, _, block in warc.arc_records(warc.arc_file(BLOCKS, 2, date="2001")):
+        ((headers, body),) = warc.parse_warc(warc.warc_record(fields, block))
+        found[fields["URL"]] = (headers, body)
+    info, body = found.pop("filedesc://pages.arc")
+    assert (info["WARC-Type"], info["Content-Type"], info["WARC-Date"]) == ("warcinfo", "application/warc-fields", "2001-01-01T00:00:00Z")
+    assert b"software: Basalt\r\n" in body and b"x-arc-version: 2\r\n" in body
+    dns, body = found["dns:c.example"]
+    assert dns["WARC-Type"] == "resource" and dns["Content-Type"] == "text/html" and body == BLOCKS[2][1]
+    assert {h["WARC-Type"] for u, (h, _) in found.items() if u.startswith("http")} == {"response"}
+    assert dns["X-Archive-Result-code"] == "200" and dns["X-Archive-Checksum"] == warc._b32(BLOCKS[2][1])
+
+
+def test_broken_dates_keep_what_stood_there():
+    fields = {"URL": "http://a/", "IP-address": "1.2.3.4", "Archive-date": "9 9", "Content-type": "text/html", "Archive-length": "1"}
+    ((headers, _),) = warc.parse_warc(warc.warc_record(fields, b"x", date="2002-01-01T00:00:00Z"))
+    assert (headers["WARC-Date"], headers["X-Archive-Date"]) == ("2002-01-01T00:00:00Z", "9%209")
+
+
+def test_records_over_chunks():
+    data = b"\r\n\r\n".join(warc.warc_record(f, b) for f, _, b in warc.arc_records(warc.arc_file(BLOCKS, 1))) + b"\r\n\r\n"
+    whole = list(warc.parse_warc(data))
+    for size in (1, 2, 3, 50):
+        assert list(warc.parse_warc(data[i : i + size] for i in range(0, len(data), size))) == whole
+    with pytest.raises(ValueError):
+        list(warc.parse_warc(data[:-30]))
+
+
 def brute(rows):
     payload = [(h or "").encode() for _, _, h in rows]
     out = []
@@ -77,6 +118,9 @@ def test_arc_files_on_disk(spark, tmp_path):
     (tmp_path / "in/b.arc.gz").write_bytes(b"".join(gzip.compress(x) for x in (warc.arc_file(BLOCKS, 2),)))
     warc.convert_arc(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     rows = warc.read_warc(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.record_type for r in rows) == ["resource"] * 2 + ["response"] * 4
+    kinds = [h["WARC-Type"] for f in sorted((tmp_path / "out").glob("*.gz")) for h, _ in warc.parse_warc(gzip.decompress(f.read_bytes()))]
+    assert kinds.count("warcinfo") == 2
     assert sorted(bytes(r.payload) for r in rows) == sorted(2 * [b"one\r\n\r\ntwo\n", b"", b"20200101 c.example\n"])
 
 
