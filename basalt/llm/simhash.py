@@ -20,6 +20,8 @@ MOST_BITS = 3
 SEGMENTS = (23, 23, 18)
 #: A run of one key with more pairs than this is linked by pivots instead of pair by pair.
 RUN_PAIRS = 256
+#: A run with more rows is parted further: each fingerprint is filed under four parts of the bits that the key leaves open.
+MOST_RUN = 1 << 14
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _LANES = np.uint64(0x0101010101010101)
@@ -225,8 +227,38 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+@lru_cache(maxsize=1)
+def _open_bits() -> np.ndarray:
+    """For each kind of key four masks that part the bits which the key does not fix."""
+    starts = np.cumsum((0, *SEGMENTS))
+    bits = [list(range(a, b)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    fixed = [bits[i] for i in range(3) for j in range(3) if i != j] + [bits[2][:9], bits[2][9:]]
+    out = []
+    for known in fixed:
+        left = [b for b in range(64) if b not in known]
+        out.append([sum(1 << b for b in left[k::4]) for k in range(4)])
+    return np.array(out, np.uint64)
+
+
+def part_run(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fingerprint) four times each: the key mixed with one part of the bits that it leaves open.
+
+    Two fingerprints of a key that differ in three bits or fewer agree in one of the four parts.
+    """
+    masks, u = _open_bits()[keys >> 40], fps.view(np.uint64)
+    out = []
+    for k in range(4):
+        x = (u & masks[:, k]) ^ (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append((x ^ (x >> np.uint64(29))).view(np.int64))
+    return np.concatenate(out), np.tile(fps, 4)
+
+
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): fingerprints within three bits.  All links of a short run of a key, connecting ones of a long run."""
+    """(a, b): fingerprints within three bits.  All links of a short run of a key, connecting ones of a long run.
+
+    A task holds MOST_RUN rows of a key; a key with more is parted by a second shuffle.
+    """
     spark = distinct.sparkSession
 
     def spread(batches):
@@ -239,30 +271,81 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys * 2 + probe), pa.array(fps[rows])], ["key", "fp"])
 
     def link(batches):
+        """Links as (0, a, b), rows of long runs as (1, key, fingerprint)."""
+        import pyarrow as pa
+
+        held: list[np.ndarray] = []
+        count, long = 0, None
+
+        def out(kind, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
+        def edges(rows):
+            return out(0, *run_links(rows[0] >> 1, rows[1], (rows[0] & 1).astype(bool)))
+
+        for batch in batches:
+            rows = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))])
+            if long is not None:  # the long run goes on
+                cut = int(np.searchsorted(rows[0] >> 1, long, "right"))
+                yield out(1, rows[0, :cut] >> 1, rows[1, :cut])
+                rows = rows[:, cut:]
+            if not rows.shape[1]:
+                continue
+            long = None
+            held.append(rows)
+            count += rows.shape[1]
+            if held[0][0, 0] >> 1 != rows[0, -1] >> 1:  # else one key goes on
+                rows = np.concatenate(held, axis=1)
+                last = int(np.searchsorted(rows[0] >> 1, rows[0, -1] >> 1))
+                held = [rows[:, last:].copy()]
+                count = rows.shape[1] - last
+                yield edges(rows[:, :last])
+            if count > MOST_RUN:
+                rows = np.concatenate(held, axis=1)
+                long = int(rows[0, 0] >> 1)
+                yield out(1, rows[0] >> 1, rows[1])
+                held, count = [], 0
+        if held:
+            yield edges(np.concatenate(held, axis=1))
+
+    def part(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, 1 << 14):
+            keys, fps = part_run(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps)], ["key", "fp"])
+
+    def link_parts(batches):
         import pyarrow as pa
 
         held: list[np.ndarray] = []
 
         def edges(rows):
-            a, b = run_links(rows[0] >> 1, rows[1], (rows[0] & 1).astype(bool))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            cuts = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
+            found = [link_run(run[1]) for run in np.split(rows, cuts, axis=1) if run.shape[1] > 1]
+            a, b = (np.concatenate([f[k] for f in found] or [rows[1, :0]]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
                 held.append(np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))]))
-                if held[0][0, 0] >> 1 != held[-1][0, -1] >> 1:  # else one key goes on
+                if held[0][0, 0] != held[-1][0, -1]:
                     rows = np.concatenate(held, axis=1)
-                    last = np.searchsorted(rows[0] >> 1, rows[0, -1] >> 1)
+                    last = int(np.searchsorted(rows[0], rows[0, -1]))
                     held = [rows[:, last:].copy()]
-                    if last:
-                        yield edges(rows[:, :last])
+                    yield edges(rows[:, :last])
         if held:
             yield edges(np.concatenate(held, axis=1))
 
     keyed = distinct.select("fp").mapInArrow(spread, "key long, fp long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_runs = keyed.repartition(parts, F.shiftright("key", 1)).sortWithinPartitions("key", "fp")
-    return sorted_runs.mapInArrow(link, "a long, b long").distinct()
+    found = materialize(sorted_runs.mapInArrow(link, "kind int, a long, b long"), "simhash-runs")
+    links, long = found.where("kind = 0").select("a", "b").distinct(), found.where("kind = 1").select("a", "b").distinct()
+    if long.isEmpty():
+        return links
+    parted = long.mapInArrow(part, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key", "fp")
+    return links.union(parted.mapInArrow(link_parts, "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:

@@ -126,6 +126,37 @@ def test_link_run_connects_what_pairs_connect():
     assert {frozenset(f for f in fps if find(f) == r) for r in map(find, fps)} == {frozenset(f for f in fps if want[f] == r) for r in want.values()}
 
 
+def test_long_runs_are_parted(spark, monkeypatch):
+    """Keys with more rows than a task holds: the same components, and every pair of a key shares a part."""
+    rng = random.Random(19)
+    centre = rng.getrandbits(64)
+    near = np.array([flipped(rng, centre, 3) for _ in range(400)], np.uint64).view(np.int64)
+    other = np.array([x ^ 0b111 << 40 for x in near.tolist()], np.int64)
+    for kind in range(8):
+        a, b = (simhash.part_run(np.full(len(x), kind << 40), x)[0].reshape(4, -1) for x in (near, other))
+        assert (a == b).any(0).all()
+    fps = sorted({flipped(rng, centre, 6) for _ in range(500)} | {rng.getrandbits(64) for _ in range(50)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long")
+
+    def groups():
+        from basalt.llm.common import connected_components
+
+        parts = connected_components(simhash.fingerprint_links(frame)).collect()
+        out = defaultdict(set)
+        for r in parts:
+            out[r.component].add(r.node)
+        return sorted(map(sorted, out.values()))
+
+    whole = groups()
+    monkeypatch.setattr(simhash, "MOST_RUN", 5)
+    assert groups() == whole
+    want = defaultdict(set)
+    for i, root in brute_components(list(range(len(fps))), fps).items():
+        want[root].add(signed[i])
+    assert whole == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
 def brute_signature(text):
     if not text:
         return np.zeros(order_minhash.SKETCHES, np.uint32)
@@ -171,6 +202,23 @@ def test_order_minhash_blocks_agree(monkeypatch):
     assert (order_minhash.signature(text) == whole).all()
 
 
+def test_order_minhash_long_texts_take_turns(monkeypatch):
+    """k-mers of a very long text are taken by the first bits of their hash: the same signature."""
+    texts = ["".join(random.Random(2).choice("abcd ") for _ in range(4000)), "ab" * 900, "the end " * 300 + "x", "日本語" * 200]
+    whole = [order_minhash.signature(t) for t in texts]
+    for size in (50, 333, 1024):
+        monkeypatch.setattr(order_minhash, "MOST_KMERS", size)
+        for t, w in zip(texts, whole, strict=True):
+            assert (order_minhash.signature(t) == w).all()
+
+
+def test_order_minhash_numbers_equal_kmers_alone():
+    """Hashes that begin alike are different k-mers."""
+    h = np.array([1 << 63, (1 << 63) | 1, 1 << 63, (1 << 63) | 1, 5], np.uint64)
+    out = order_minhash.numbered(h)
+    assert out[[0, 1, 4]].tolist() == h[[0, 1, 4]].tolist() and (out[[2, 3]] != h[[2, 3]]).all()
+
+
 def test_order_minhash_sees_order():
     rng = random.Random(8)
     blocks = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(20)]
