@@ -18,6 +18,8 @@ ANCHOR = 32
 PIECE = 1 << 20
 #: Bytes of contexts in one suffix array.  An anchor whose contexts have more is dealt over several.
 SHARD_BYTES = 2 << 20
+#: Most tasks that shards are dealt to; a task solves its shards one after the other.
+MOST_TASKS = 8192
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -282,10 +284,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = F.substring(F.col("text").cast("binary"), (F.col("first") + 1).cast("int"), F.col("size"))
     # Rows that repeat an id and a text bring a context twice.
     bound = bound.select("shard", "v", "c", "n", "hot", cut.alias("context"))
-    if shards > 1:
-        bound = bound.repartition(shards, "shard")
-    else:
-        bound = bound.repartition(1)
+    tasks = min(shards, MOST_TASKS)
+    bound = bound.repartition(tasks, "shard") if tasks > 1 else bound.repartition(1)
     sharded = bound.dropDuplicates(["shard", "v", "c"]).sortWithinPartitions("shard", "v", "c")
     solved = sharded.mapInArrow(_by_shard(match), "v long, c long, lo long, hi long, d1 long, d2 long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
