@@ -198,10 +198,10 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
     def alike(batches):
         import pyarrow as pa
 
-        for batch in slices(batches):
+        for batch in slices(batches, 16):
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - _LEAST)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
