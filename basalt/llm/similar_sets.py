@@ -11,9 +11,11 @@ from .common import connected_components, each_text, materialize, row_hash, slic
 #: Texts that tell which shingles are common; the order of shingles decides how fast links are found, never which.
 SAMPLE = 8_000
 MOST_COMMON = 200_000
-#: Runs of one shingle with more members are first compared with a pivot, then between the parts that this leaves.
-SHORT_RUN = 32
+#: Runs of one shingle with more members are compared with a pivot, and then by groups (``_group_links``).
+SHORT_RUN = 8
 PIVOTS = 4
+#: Members of a block of a group, and bytes of their sets; a larger group is compared block by block.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
 #: Up to so many texts are looked up by a broadcast list of their hashes, more by a join that shuffles.
 MOST_BROADCAST = 1_000_000
 _LEAST = 1e-9
@@ -111,62 +113,155 @@ def _whole_runs(batches):
         yield np.concatenate(held, axis=1)
 
 
-def _sorted_runs(rows: DataFrame) -> DataFrame:
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "token").sortWithinPartitions("token", "size", "fp")
-
-
 def _first_pairs(similarity: float):
-    """Pairs of short runs (kind 0), pairs with the pivot of a long run (kind 1), the rows of long runs (kind 2)."""
+    """Rows (token, fp, size, at) sorted by token to pairs of short runs (kind 0) and the members of long runs beside
+    their pivot: kind 1 where the sizes let them be alike, kind 2 where not.
+
+    The pivot is the member that comes first in an order that no token bears on, so the tokens of one group of copies
+    have the same pivot as a rule.
+    """
 
     def work(batches):
         import pyarrow as pa
 
-        names = ["kind", "a", "b", "size", "at"]
-        out = lambda kind, *cols: pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind)), *map(pa.array, cols)], names)
+        def out(kind, pairs):
+            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
         for rows in _whole_runs(batches):
             again = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])  # documents of equal sets
             rows = rows[:, np.concatenate([[True], ~again])]
             _, start, inverse, times = np.unique(rows[0], return_index=True, return_inverse=True, return_counts=True)
             members = times[inverse]
             token, fp, size, at = rows[:, (members > 1) & (members <= SHORT_RUN)]
-            pairs = []
+            found: list[list] = [[], [], []]
             for d in range(1, SHORT_RUN):
                 ok = (token[:-d] == token[d:]) & _may_link(size[:-d], at[:-d], size[d:], at[d:], similarity)
-                pairs.append(np.stack([np.minimum(fp[:-d], fp[d:])[ok], np.maximum(fp[:-d], fp[d:])[ok]]))
-            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            yield out(0, a, b, a * 0, a * 0)
+                found[0].append(np.stack([np.minimum(fp[:-d], fp[d:])[ok], np.maximum(fp[:-d], fp[d:])[ok]]))
             for s, n in zip(start[times > SHORT_RUN].tolist(), times[times > SHORT_RUN].tolist(), strict=True):
-                token, fp, size, at = rows[:, s : s + n]
-                p = int(np.argmin((fp ^ token).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                near = (np.minimum(size, size[p]) >= similarity * np.maximum(size, size[p]) - _LEAST) & (fp != fp[p])
-                yield out(1, np.full(near.sum(), fp[p]), fp[near], size[near] * 0, at[near] * 0)
-                yield out(2, token, fp, size, at)
+                _, fp, size, _ = rows[:, s : s + n]
+                p = int(np.argmin(fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                near = np.minimum(size, size[p]) >= similarity * np.maximum(size, size[p]) - _LEAST
+                near[p] = False  # a member of its own group, not a pair
+                found[1].append(np.stack([np.full(int(near.sum()), fp[p]), fp[near]]))
+                found[2].append(np.stack([np.full(int((~near).sum()), fp[p]), fp[~near]]))
+            for kind in range(3):
+                yield out(kind, found[kind])
 
     return work
 
 
-def _rest_pairs(similarity: float):
-    """Pairs of a run that no link connects yet."""
+def _signatures(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """A bit for each shingle, by the lowest bits of its hash."""
+    out = np.zeros((len(sets), words), np.uint64)
+    for row, s in zip(out, sets, strict=True):
+        bit = s & np.uint64(64 * words - 1)
+        np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def block_links(fps: np.ndarray, parts: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members of different parts that connect what all their links connect.
+
+    With two ``sides``, only pairs of both count.  What two sets have in common is at most the bits that both signatures
+    have, and the lesser number of shingles that had to share a bit: so most pairs need no look at their sets.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    words = 1 << int(np.clip(np.ceil(np.log2(max(1.0, float(np.median(sizes)) / 8))), 4, 10))
+    bits = _signatures(sets, words)
+    spare = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    names, root, times = np.unique(parts, return_inverse=True, return_counts=True)
+    largest = int(np.argmax(times))
+    both = len(np.unique(sides)) > 1
+    asks = np.flatnonzero(root != largest)
+    before = np.zeros(len(fps), bool)  # what has asked already
+    left, right = [], []
+    for i in asks.tolist():
+        ok = (root != root[i]) & ~before & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - _LEAST)
+        if both:
+            ok &= sides != sides[i]
+        near = np.flatnonzero(ok)
+        need = similarity / (1 + similarity) * (sizes[near] + sizes[i]) - 1e-6
+        shared = np.bitwise_count(bits[near] & bits[i]).sum(1, dtype=np.int64) + np.minimum(spare[near], spare[i])
+        for j in near[shared >= need].tolist():
+            if root[i] != root[j]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= similarity * (sizes[i] + sizes[j] - common) - _LEAST:
+                    left.append(i)
+                    right.append(j)
+                    root[root == root[j]] = root[i]
+        before[i] = True
+    return fps[left], fps[right]
+
+
+def _by_block(similarity: float):
+    """Rows (key, side, fp, part, hashes) sorted by key to the links of each block."""
 
     def work(batches):
         import pyarrow as pa
 
-        for rows in _whole_runs(batches):
-            cuts = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
-            for run in np.split(rows, cuts, axis=1):
-                _, fp, size, at, part = run
-                names, number, times = np.unique(part, return_inverse=True, return_counts=True)
-                if len(names) == 1:
-                    continue
-                for i in np.flatnonzero(number != np.argmax(times)).tolist():
-                    # Of two rows outside the largest part, the later one asks.
-                    ok = (part != part[i]) & _may_link(size, at, size[i], at[i], similarity) & ((number == np.argmax(times)) | (np.arange(len(fp)) < i))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[ok], fp[i])), pa.array(np.maximum(fp[ok], fp[i]))], ["a", "b"])
+        held: list[tuple] = []
+
+        def solve():
+            _, sides, fps, parts, sets = zip(*held, strict=True)
+            a, b = block_links(np.array(fps), np.array(parts), np.array(sides), [np.frombuffer(s, np.uint64) for s in sets], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in slices(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield solve()
+                    held = []
+                held.append(row)
+        if held:
+            yield solve()
 
     return work
 
 
+def _group_links(groups: DataFrame, links: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, similarity: float, text_col: str) -> DataFrame | None:
+    """The links inside groups (pivot, fp) between parts that no link connects yet; None if no group has two parts.
+
+    A group's sets meet in one task, or, where they are many, in a task for each two of its blocks; only links that
+    connect parts leave it.
+    """
+    parts = connected_components(links)
+    placed = groups.join(parts, groups["fp"] == parts["node"], "left").select("pivot", "fp", F.coalesce("component", "fp").alias("part"))
+    placed = materialize(placed.join(distinct.select("fp", "size"), "fp"), "similar-groups")
+    per = placed.groupBy("pivot").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") * 8 / BLOCK_BYTES))
+    per = materialize(per.where("lo <> hi").select("pivot", blocks.cast("int").alias("blocks")), "similar-mixed")
+    if per.isEmpty():
+        return None
+    todo = materialize(placed.join(per, "pivot").select("pivot", "fp", "part", "blocks"), "similar-todo")
+    sets = _sets_of(todo.select("fp").distinct(), distinct, docs, size, text_col)
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
+    dealt = todo.withColumn("mine", mine).select("fp", "part", "mine", "pivot", F.explode(pairs).alias("p"))
+    dealt = dealt.select("fp", "part", "mine", F.xxhash64("pivot", "p.i", "p.j").alias("key"))
+    number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.join(sets, "fp").select("key", "mine", "fp", "part", "hashes").repartition(number, "key").sortWithinPartitions("key", "fp")
+    return materialize(met.mapInArrow(_by_block(similarity), "a long, b long").distinct(), "similar-rest")
+
+
+def _sets_of(wanted: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """(fp, hashes): the sets that are wanted, read from one text of each."""
+    wanted = materialize(distinct.join(wanted, "fp", "left_semi").select("fp", F.col("th").alias("fp_th")), "similar-wanted")
+    count = wanted.count()
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), row_hash(F.col(text_col)).alias("th"))
+    texts = texts.join(F.broadcast(wanted) if count <= MOST_BROADCAST else wanted, F.col("th") == F.col("fp_th")).select("fp", "text")
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            found = [shingle_set(t, size).tobytes() for t in each_text(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "hashes"])
+
+    held = materialize(texts.mapInArrow(sets, "fp long, hashes binary"), "similar-sets")
+    return materialize(held.dropDuplicates(["fp"]), "similar-sets") if held.count() > count else held  # equal texts
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, similarity: float, text_col: str) -> DataFrame:
     """The pairs whose sets are alike: those that the counts by byte allow, from the sets themselves."""
 
@@ -182,19 +277,6 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
     side = lambda k, n: distinct.select(F.col("fp").alias(k), F.col("size").alias(f"n{n}"), F.col("bins").alias(f"x{n}"))
     binned = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n1", "n2", "x1", "x2")
     pairs = materialize(binned.mapInArrow(possible, "a long, b long"), "similar-possible")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = materialize(distinct.join(wanted, "fp", "left_semi").select("fp", F.col("th").alias("fp_th")), "similar-wanted")
-    few = wanted.count() <= MOST_BROADCAST
-    texts = docs.select(F.col(text_col).cast("string").alias("text"), row_hash(F.col(text_col)).alias("th"))
-    texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("th") == F.col("fp_th")).select("fp", "text")
-
-    def sets(batches):
-        import pyarrow as pa
-
-        for batch in slices(batches):
-            found = [shingle_set(t, size).tobytes() for t in each_text(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "hashes"])
-
     def alike(batches):
         import pyarrow as pa
 
@@ -206,9 +288,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
                 ok.append(both >= similarity * (len(x) + len(y) - both) - _LEAST)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    held = materialize(texts.mapInArrow(sets, "fp long, hashes binary"), "similar-sets")
-    if held.count() > wanted.count():  # equal texts
-        held = materialize(held.dropDuplicates(["fp"]), "similar-sets")
+    held = _sets_of(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), distinct, docs, size, text_col)
     left, right = held.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), held.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return materialize(joined.mapInArrow(alike, "a long, b long"), "similar-links")
@@ -219,20 +299,17 @@ def set_links(marks: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
 
     Two sets of which a share of ``similarity`` is common have one of their first shingles in common (prefix
     filter), whatever order all texts take the shingles in.  Rare ones come first, so runs are short.  In a long
-    run every member is compared with a pivot; then all pairs that are still in different parts are compared.
+    run every member is compared with a pivot; then the members of all runs with that pivot that are still in
+    different parts are compared, inside a task, so that the rows made grow with the members and not with their pairs.
     """
     tokens = marks.select("fp", "size", F.posexplode("prefix").alias("at", "token")).select("token", "fp", "size", F.col("at").cast("long"))
-    first = materialize(_sorted_runs(tokens).mapInArrow(_first_pairs(similarity), "kind long, a long, b long, size long, at long"), "similar-first")
+    number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = tokens.repartition(number, "token").sortWithinPartitions("token", "size", "fp")
+    first = materialize(runs.mapInArrow(_first_pairs(similarity), "kind long, a long, b long"), "similar-first")
     pivots = first.where("kind = 1").groupBy("b").agg(F.slice(F.sort_array(F.collect_set("a")), 1, PIVOTS).alias("a"))
     pairs = first.where("kind = 0").select("a", "b").union(pivots.select(F.explode("a").alias("a"), "b"))
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     links = _verified(pairs, distinct, docs, size, similarity, text_col)
-    long = first.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("fp"), "size", "at")
-    if long.isEmpty():
-        return links
-    parts = connected_components(links)
-    long = long.join(parts, long["fp"] == parts["node"], "left").select("token", "fp", "size", "at", F.coalesce("component", "fp").alias("part"))
-    rest = materialize(_sorted_runs(long).mapInArrow(_rest_pairs(similarity), "a long, b long").distinct(), "similar-rest")
-    if rest.isEmpty():
-        return links
-    return links.union(_verified(rest, distinct, docs, size, similarity, text_col))
+    groups = first.where("kind > 0").select(F.col("a").alias("pivot"), F.col("b").alias("fp")).distinct()
+    rest = _group_links(groups, links, distinct, docs, size, similarity, text_col)
+    return links if rest is None else links.union(rest)

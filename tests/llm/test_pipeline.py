@@ -9,7 +9,7 @@ import corpus_pipeline
 import pytest
 from basalt.llm import toxicity
 
-from .test_near import brute_components, brute_fingerprint
+from .test_similar_sets import brute_groups
 
 
 @pytest.fixture(scope="module")
@@ -77,7 +77,7 @@ def test_exact_dedup_keeps_one_of_each_text(spark, tables):
 def test_near_dedup_keeps_one_of_each_component(spark, tables):
     path, rows = tables
     got = as_set(run_stage(spark, 2, spark.read.parquet(f"{path}/documents.parquet"), path))
-    comp = brute_components(list(range(len(rows))), [brute_fingerprint(r[1]) for r in rows])
+    comp = brute_groups([r[1] for r in rows])  # the stage's rule: five words a shingle, Jaccard 0.8 or more
     best = {}
     for i, r in enumerate(rows):
         rank = (r[0] is None, r[0] or 0)

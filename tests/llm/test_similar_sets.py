@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from basalt.llm import similar_sets
 
@@ -57,8 +58,43 @@ def texts():
     return [*out, "", None, " \n", "x", "X", "two words", "Two  words", "a b c d e", "a b c d e f"]
 
 
-@pytest.mark.parametrize("short_run", [32, 3])
-def test_stage_links_every_alike_pair(spark, make, texts, short_run, monkeypatch):
+@pytest.mark.parametrize(("short_run", "block"), [(8, 4096), (2, 7)])
+def test_stage_links_every_alike_pair(spark, make, texts, short_run, block, monkeypatch):
+    """Whatever the runs that are compared pair by pair, and the blocks of the groups of the others."""
     monkeypatch.setattr(similar_sets, "SHORT_RUN", short_run)
+    monkeypatch.setattr(similar_sets, "BLOCK", block)
     kept = corpus_pipeline.drop_near_copies(spark, make(spark, texts), "")
     assert {r.doc_id for r in kept.select("doc_id").collect()} == set(brute_groups(texts))
+
+
+def test_blocks_connect_what_pairs_connect():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    sets = []
+    for k in range(80):
+        own = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([base[: 150 + 150 * (k % 2)][rng.random(150 + 150 * (k % 2)) > rng.choice([0.02, 0.1])], own[: rng.integers(0, 30)]])))
+    sets.append(sets[0][:0])
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+
+    def groups(edges):
+        root = list(range(len(sets)))
+        for i, j in edges:
+            root = [root[j] if r == root[i] else r for r in root]
+        return {frozenset(k for k in range(len(sets)) if root[k] == r) for r in root}
+
+    fps, sides = np.arange(len(sets)), np.zeros(len(sets), int)
+    a, b = similar_sets.block_links(fps, fps, sides, sets, 0.8)
+    assert len(a) < len(sets) and set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)) <= set(alike)
+    assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups(alike)
+    sides = fps % 2
+    a, b = similar_sets.block_links(fps, fps, sides, sets, 0.8)
+    assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups([(i, j) for i, j in alike if (i + j) % 2])
+
+
+def test_recall_on_the_test_tables(spark, sf):
+    """Every pair of documents that differ in more than white space and are alike by all pairs' Jaccard is joined."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()}
+    assert kept == {rows[k][0] for k in set(brute_groups([t for _, t in rows]))}
