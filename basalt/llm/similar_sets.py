@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from .common import connected_components, each_text, materialize, row_hash, slices
 
 #: Texts that tell which shingles are common; the order of shingles decides how fast links are found, never which.
-SAMPLE = 8_000
-MOST_COMMON = 200_000
-#: Runs of one shingle with more members are compared with a pivot, and then by groups (``_group_links``).
+SAMPLE = 16_000
+MOST_COMMON = 400_000
+#: Runs of one shingle with more members are compared with a pivot, and then by groups (``_group_pairs``).
 SHORT_RUN = 8
 PIVOTS = 4
-#: Members of a block of a group, and bytes of their sets; a larger group is compared block by block.
-BLOCK, BLOCK_BYTES = 4096, 32 << 20
+#: Members of a block of a group; a larger group is compared block by block.
+BLOCK = 4096
 #: Up to so many texts are looked up by a broadcast list of their hashes, more by a join that shuffles.
 MOST_BROADCAST = 1_000_000
 _LEAST = 1e-9
@@ -42,7 +42,7 @@ def prefix_of(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, simila
 
 
 def _common_shingles(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in four or more texts of a sample, sorted, and in how many they are."""
+    """Shingles in two or more texts of a sample, sorted, and in how many they are."""
     part = -(-docs.count() // SAMPLE)
 
     def work(batches):
@@ -54,7 +54,7 @@ def _common_shingles(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndar
 
     text = F.col(text_col).cast("string")
     picked = docs.select(text.alias("text")).where(F.pmod(row_hash(F.col("text")), F.lit(max(part, 1))) == 0)
-    found = picked.mapInArrow(work, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 4")
+    found = picked.mapInArrow(work, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 2")
     got = found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
     h, n = np.asarray(got["h"]).astype(np.int64).view(np.uint64), np.asarray(got["n"]).astype(np.int64)
     order = np.argsort(h)
@@ -151,96 +151,82 @@ def _first_pairs(similarity: float):
     return work
 
 
-def _signatures(sets: list[np.ndarray], words: int) -> np.ndarray:
-    """A bit for each shingle, by the lowest bits of its hash."""
-    out = np.zeros((len(sets), words), np.uint64)
-    for row, s in zip(out, sets, strict=True):
-        bit = s & np.uint64(64 * words - 1)
-        np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out
+def _may_be_alike(x: np.ndarray, y: np.ndarray, both: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the counts by byte allow two sets to be alike: they have at most the lesser counts in common."""
+    low = np.minimum(x, y)
+    return (low.sum(1, dtype=np.int64) >= similarity / (1 + similarity) * both - 1e-6) | (low == 255).any(1)
 
 
-def block_links(fps: np.ndarray, parts: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links between members of different parts that connect what all their links connect.
-
-    With two ``sides``, only pairs of both count.  What two sets have in common is at most the bits that both signatures
-    have, and the lesser number of shingles that had to share a bit: so most pairs need no look at their sets.
-    """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    words = 1 << int(np.clip(np.ceil(np.log2(max(1.0, float(np.median(sizes)) / 8))), 4, 10))
-    bits = _signatures(sets, words)
-    spare = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
-    names, root, times = np.unique(parts, return_inverse=True, return_counts=True)
-    largest = int(np.argmax(times))
-    both = len(np.unique(sides)) > 1
-    asks = np.flatnonzero(root != largest)
+def block_pairs(fps: np.ndarray, parts: np.ndarray, sides: np.ndarray, sizes: np.ndarray, bins: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different parts whose sizes and counts allow them to be alike; of two ``sides``, if there are."""
+    _, number, times = np.unique(parts, return_inverse=True, return_counts=True)
+    largest, two = int(np.argmax(times)), len(np.unique(sides)) > 1
     before = np.zeros(len(fps), bool)  # what has asked already
     left, right = [], []
-    for i in asks.tolist():
-        ok = (root != root[i]) & ~before & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - _LEAST)
-        if both:
+    for i in np.flatnonzero(number != largest).tolist():
+        ok = (number != number[i]) & ~before & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - _LEAST)
+        if two:
             ok &= sides != sides[i]
         near = np.flatnonzero(ok)
-        need = similarity / (1 + similarity) * (sizes[near] + sizes[i]) - 1e-6
-        shared = np.bitwise_count(bits[near] & bits[i]).sum(1, dtype=np.int64) + np.minimum(spare[near], spare[i])
-        for j in near[shared >= need].tolist():
-            if root[i] != root[j]:
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if common >= similarity * (sizes[i] + sizes[j] - common) - _LEAST:
-                    left.append(i)
-                    right.append(j)
-                    root[root == root[j]] = root[i]
+        near = near[_may_be_alike(bins[near], bins[i], sizes[near] + sizes[i], similarity)]
+        left.append(np.full(len(near), fps[i]))
+        right.append(fps[near])
         before[i] = True
-    return fps[left], fps[right]
+    if not left:
+        return fps[:0], fps[:0]
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _by_block(similarity: float):
-    """Rows (key, side, fp, part, hashes) sorted by key to the links of each block."""
+    """Rows (key, side, fp, part, size, bins) sorted by key to the pairs of each block."""
 
     def work(batches):
         import pyarrow as pa
 
-        held: list[tuple] = []
+        held: list = []
 
         def solve():
-            _, sides, fps, parts, sets = zip(*held, strict=True)
-            a, b = block_links(np.array(fps), np.array(parts), np.array(sides), [np.frombuffer(s, np.uint64) for s in sets], similarity)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for batch in slices(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][0] != row[0]:
+            _, sides, fps, parts, sizes = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in range(5))
+            bins = np.concatenate([np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, 256) for b in held])
+            found = block_pairs(fps, parts, sides, sizes, bins, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+
+        for batch in batches:
+            keys = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and hi > lo and held[-1].column(0)[0].as_py() != int(keys[lo]):
                     yield solve()
                     held = []
-                held.append(row)
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
         if held:
             yield solve()
 
     return work
 
 
-def _group_links(groups: DataFrame, links: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, similarity: float, text_col: str) -> DataFrame | None:
-    """The links inside groups (pivot, fp) between parts that no link connects yet; None if no group has two parts.
+def _group_pairs(groups: DataFrame, links: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame | None:
+    """The pairs inside groups (pivot, fp) that no link connects yet and whose counts allow them to be alike; None if no
+    group has two parts.
 
-    A group's sets meet in one task, or, where they are many, in a task for each two of its blocks; only links that
-    connect parts leave it.
+    A group meets in one task, or, where it is large, in a task for each two of its blocks.
     """
     parts = connected_components(links)
     placed = groups.join(parts, groups["fp"] == parts["node"], "left").select("pivot", "fp", F.coalesce("component", "fp").alias("part"))
-    placed = materialize(placed.join(distinct.select("fp", "size"), "fp"), "similar-groups")
-    per = placed.groupBy("pivot").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") * 8 / BLOCK_BYTES))
-    per = materialize(per.where("lo <> hi").select("pivot", blocks.cast("int").alias("blocks")), "similar-mixed")
+    placed = materialize(placed, "similar-groups")
+    per = placed.groupBy("pivot").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"))
+    per = materialize(per.where("lo <> hi").select("pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "similar-mixed")
     if per.isEmpty():
         return None
-    todo = materialize(placed.join(per, "pivot").select("pivot", "fp", "part", "blocks"), "similar-todo")
-    sets = _sets_of(todo.select("fp").distinct(), distinct, docs, size, text_col)
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
-    dealt = todo.withColumn("mine", mine).select("fp", "part", "mine", "pivot", F.explode(pairs).alias("p"))
+    dealt = placed.join(per, "pivot").withColumn("mine", mine).select("fp", "part", "mine", "pivot", F.explode(pairs).alias("p"))
     dealt = dealt.select("fp", "part", "mine", F.xxhash64("pivot", "p.i", "p.j").alias("key"))
-    number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.join(sets, "fp").select("key", "mine", "fp", "part", "hashes").repartition(number, "key").sortWithinPartitions("key", "fp")
+    number = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.join(distinct.select("fp", "size", "bins"), "fp").select("key", "mine", "fp", "part", "size", "bins")
+    met = met.repartition(number, "key").sortWithinPartitions("key")
     return materialize(met.mapInArrow(_by_block(similarity), "a long, b long").distinct(), "similar-rest")
 
 
@@ -270,8 +256,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
 
         for batch in slices(batches, 4096):
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (4, 5))
-            low, both = np.minimum(x, y), np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-            ok = (low.sum(1, dtype=np.int64) >= similarity / (1 + similarity) * both - 1e-6) | (low == 255).any(1)
+            ok = _may_be_alike(x, y, np.asarray(batch.column(2)) + np.asarray(batch.column(3)), similarity)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     side = lambda k, n: distinct.select(F.col("fp").alias(k), F.col("size").alias(f"n{n}"), F.col("bins").alias(f"x{n}"))
@@ -300,7 +285,7 @@ def set_links(marks: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
     Two sets of which a share of ``similarity`` is common have one of their first shingles in common (prefix
     filter), whatever order all texts take the shingles in.  Rare ones come first, so runs are short.  In a long
     run every member is compared with a pivot; then the members of all runs with that pivot that are still in
-    different parts are compared, inside a task, so that the rows made grow with the members and not with their pairs.
+    different parts are compared by their counts, inside a task, and only what may be alike leaves it.
     """
     tokens = marks.select("fp", "size", F.posexplode("prefix").alias("at", "token")).select("token", "fp", "size", F.col("at").cast("long"))
     number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -311,5 +296,5 @@ def set_links(marks: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     links = _verified(pairs, distinct, docs, size, similarity, text_col)
     groups = first.where("kind > 0").select(F.col("a").alias("pivot"), F.col("b").alias("fp")).distinct()
-    rest = _group_links(groups, links, distinct, docs, size, similarity, text_col)
-    return links if rest is None else links.union(rest)
+    rest = _group_pairs(groups, links, distinct, similarity)
+    return links if rest is None else links.union(_verified(rest, distinct, docs, size, similarity, text_col))

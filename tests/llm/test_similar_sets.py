@@ -67,29 +67,24 @@ def test_stage_links_every_alike_pair(spark, make, texts, short_run, block, monk
     assert {r.doc_id for r in kept.select("doc_id").collect()} == set(brute_groups(texts))
 
 
-def test_blocks_connect_what_pairs_connect():
+def test_blocks_lose_no_alike_pair():
+    """All alike pairs of different parts, few others, none inside a part; of two sides, only pairs of both."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
     sets = []
     for k in range(80):
         own = rng.integers(0, 1 << 60, 60).astype(np.uint64)
-        sets.append(np.unique(np.concatenate([base[: 150 + 150 * (k % 2)][rng.random(150 + 150 * (k % 2)) > rng.choice([0.02, 0.1])], own[: rng.integers(0, 30)]])))
+        most = base[: 150 + 150 * (k % 2)]
+        sets.append(np.unique(np.concatenate([most[rng.random(len(most)) > rng.choice([0.02, 0.1])], own[: rng.integers(0, 30)]])))
     sets.append(sets[0][:0])
-    alike = [(i, j) for i in range(len(sets)) for j in range(i) if (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
-
-    def groups(edges):
-        root = list(range(len(sets)))
-        for i, j in edges:
-            root = [root[j] if r == root[i] else r for r in root]
-        return {frozenset(k for k in range(len(sets)) if root[k] == r) for r in root}
-
-    fps, sides = np.arange(len(sets)), np.zeros(len(sets), int)
-    a, b = similar_sets.block_links(fps, fps, sides, sets, 0.8)
-    assert len(a) < len(sets) and set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)) <= set(alike)
-    assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups(alike)
-    sides = fps % 2
-    a, b = similar_sets.block_links(fps, fps, sides, sets, 0.8)
-    assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups([(i, j) for i, j in alike if (i + j) % 2])
+    fps, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    bins = np.stack([np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) for s in sets]).astype(np.uint8)
+    alike = {(j, i) for i in range(len(sets)) for j in range(i) if (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9}
+    for parts, sides in ((fps, fps * 0), (fps % 3, fps * 0), (fps, fps % 2)):
+        found = set(zip(*(x.tolist() for x in similar_sets.block_pairs(fps, parts, sides, sizes, bins, 0.8)), strict=True))
+        apart = {(a, b) for a, b in alike if parts[a] != parts[b] and (not sides.any() or sides[a] != sides[b])}
+        assert apart <= found and all(parts[a] != parts[b] for a, b in found)
+        assert len(found) < 3 * len(apart) + 20
 
 
 def test_recall_on_the_test_tables(spark, sf):
