@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 def list_unique(value: Column, ignore_nulls: bool = True) -> Column:
     """Distinct values in byte order; with nulls respected, one null comes last."""
-    out = F.array_sort(F.collect_set(value))
     if ignore_nulls:
-        return out
-    return F.when(F.coalesce(F.bool_or(value.isNull()), F.lit(False)), F.concat(out, F.array(F.lit(None).cast("string")))).otherwise(out)
+        return F.array_sort(F.collect_set(value))
+    return F.array_sort(F.transform(F.collect_set(F.struct(value.alias("x"))), lambda s: s["x"]))
 
 
 collect_set = list_unique
@@ -45,19 +44,39 @@ def arg_min(value: Column, key: Column) -> Column:
     return F.min(_known(value, key, F.struct(key.alias("k"), value.alias("v"))))["v"]
 
 
-def arg_max(value: Column, key: Column) -> Column:
-    """The value at the largest key, of equal keys the smallest value; rows with a null are skipped."""
-    down = -key.cast("decimal(38,6)")
-    return F.min(_known(value, key, F.struct(down.alias("k"), value.alias("v"))))["v"]
+def descending(key: Column, kind: str = "number") -> Column:
+    """A value that sorts the other way round, exactly: for a number, integer, text, date, timestamp or boolean.
+
+    Numbers change their sign, and NaN, which is above all, comes first; integers flip their bits, so that the least one has
+    a counterpart; so do the bytes of a text, and an end that is above every byte makes the longer text come first.
+    """
+    if kind == "number":
+        return F.struct((~F.isnan(key)).alias("nan"), (-key).alias("k"))
+    if kind in ("integer", "date", "timestamp"):
+        whole = {"integer": key, "date": F.unix_date(key) if kind == "date" else key, "timestamp": F.unix_micros(key) if kind == "timestamp" else key}[kind]
+        return F.bitwise_not(whole.cast("long"))
+    if kind == "text":
+        return F.concat(F.translate(F.hex(key.cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    if kind == "boolean":
+        return ~key
+    raise ValueError(f"unknown kind of key {kind}")
+
+
+def arg_max(value: Column, key: Column, kind: str = "number") -> Column:
+    """The value at the largest key, of equal keys the smallest value; rows with a null are skipped.
+
+    ``kind`` says what the key is (``descending``).  One aggregate that combines map-side.
+    """
+    return F.min(_known(value, key, F.struct(descending(key, kind).alias("k"), value.alias("v"))))["v"]
 
 
 def any_value_det(value: Column, key: Column) -> Column:
     return arg_min(value, key)
 
 
-def asof_select(value: Column, key: Column) -> Column:
+def asof_select(value: Column, key: Column, kind: str = "number") -> Column:
     """The latest value."""
-    return arg_max(value, key)
+    return arg_max(value, key, kind)
 
 
 def array_agg(value: Column) -> Column:

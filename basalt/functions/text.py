@@ -56,12 +56,17 @@ def concat(*parts: Column) -> Column:
     return F.concat(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
+def _shifted(text: str, mark: str) -> str:
+    """Group numbers after a mark, one higher; what follows a backslash stays, except a number after the mark itself."""
+    return re.sub(r"\\\\|\\\$|" + re.escape(mark) + r"(\d+)", lambda m: f"{mark}{int(m[1]) + 1}" if m[1] else m[0], text)
+
+
 def regexp_replace_first(value: Column, pattern: str, replacement: str) -> Column:
-    """Replaces the first match only, as the engine does without the flag g."""
-    spot = F.regexp_instr(value, F.lit(pattern))
-    found = F.regexp_substr(value, F.lit(pattern))
-    new = F.regexp_replace(found, pattern, replacement)
-    return F.when(spot == 0, value).otherwise(F.concat(F.substring(value, F.lit(1), spot - 1), new, F.substring(value, spot + F.length(found), F.length(value))))
+    """Replaces the first match only, as the engine does without the flag g.
+
+    The text up to the match is a group of its own, from the start of the text on, so the match sees all that is around it.
+    """
+    return F.regexp_replace(value, r"\A([\s\S]*?)(?:" + _shifted(pattern, "\\") + ")", "$1" + _shifted(replacement, "$"))
 
 
 def initcap(value: Column) -> Column:

@@ -122,6 +122,18 @@ def range_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str],
     return keyed.join(pairs.withColumnRenamed("_row", "_pair"), F.col("_row") == F.col("_pair"), how).select(*left.columns, *out)
 
 
+def smallest_container(rows: DataFrame, id_col: str, path: str = "path", start: str = "bstart", end: str = "bend") -> DataFrame:
+    """(id, holder): for each interval the shortest other one of its path that contains it, of equal ones the smallest id.
+
+    Pairs come from one join by path; the best of each is an aggregate, combined map-side, and not a ranking of all pairs.
+    """
+    inner = rows.select(F.col(id_col).alias("_id"), F.col(path).alias("_p"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    outer = rows.select(F.col(path).alias("_q"), F.col(id_col).alias("holder"), F.col(start).alias("_a"), F.col(end).alias("_b"))
+    pairs = inner.join(outer, (F.col("_p") == F.col("_q")) & (F.col("_a") <= F.col("_s")) & (F.col("_e") <= F.col("_b")) & (F.col("_id") != F.col("holder")))
+    best = pairs.groupBy("_id").agg(F.min(F.struct((F.col("_b") - F.col("_a")).alias("size"), "holder")).alias("best"))
+    return best.select(F.col("_id").alias(id_col), "best.holder")
+
+
 def join_by_path(left: DataFrame, right: DataFrame, left_path: str, right_path: str, how: str = "inner") -> DataFrame:
     """Equality on the path, both sides' columns prefixed ``left__`` and ``right__``."""
     l, r = prefixed(left, "left__"), prefixed(right, "right__")

@@ -6,6 +6,7 @@ A spec is plain data.  Composing it only strings DataFrame operations together;
 from __future__ import annotations
 
 import dataclasses
+import datetime
 import hashlib
 import json
 from collections import Counter
@@ -263,14 +264,34 @@ def typed(p: Param) -> Column:
     return F.lit(None if p.kind == "null" else p.value).cast(PARAM_TYPES[p.kind])
 
 
+#: What a value of each type may be in Python; dates and times may also be ISO text.
+_HOLDS = {"utf8": (str,), "int64": (int,), "float64": (int, float), "boolean": (bool,), "date": (datetime.date,), "timestamp": (datetime.datetime,)}
+
+
+def python_value(p: Param) -> object:
+    """The value as its type says; another kind of value is an error."""
+    if p.kind not in PARAM_TYPES:
+        raise SpecError(f"unknown parameter types {[p.kind]}")
+    if p.kind == "null" or p.value is None:
+        return None
+    value = p.value
+    if p.kind in ("date", "timestamp") and isinstance(value, str):
+        try:
+            value = (datetime.date if p.kind == "date" else datetime.datetime).fromisoformat(value)
+        except ValueError:
+            raise SpecError(f"{p.value!r} is no {p.kind}") from None
+    wrong = isinstance(value, bool) != (p.kind == "boolean") or (p.kind == "date" and isinstance(value, datetime.datetime))
+    if wrong or not isinstance(value, _HOLDS[p.kind]) or (p.kind == "int64" and not -(1 << 63) <= value < 1 << 63):
+        raise SpecError(f"{p.value!r} is no {p.kind}")
+    return float(value) if p.kind == "float64" else value
+
+
 def positional(params: tuple[Param, ...]) -> list:
-    """Values of $1..$N; doubled or missing places are errors."""
+    """Values of $1..$N as their types say; doubled or missing places and values of another type are errors."""
     found = sorted((p for p in params if p.position is not None), key=lambda p: p.position)
     if [p.position for p in found] != list(range(1, len(found) + 1)):
         raise SpecError("positions run from 1 without gaps or repeats")
-    if bad := [p.kind for p in found if p.kind not in PARAM_TYPES]:
-        raise SpecError(f"unknown parameter types {bad}")
-    return [None if p.kind == "null" else p.value for p in found]
+    return [python_value(p) for p in found]
 
 
 def sql_with_params(spark: SparkSession, sql: str, params: tuple[Param, ...], **tables: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import changes, code, families, functions, joins, rows, semantic, streams, surface, tables, views
+from . import changes, code, domain, families, functions, joins, rows, semantic, streams, surface, tables, views
 from .registry import QUERIES, SQL
 
 
@@ -16,4 +16,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["changes", "code", "families", "functions", "joins", "oracle_sql", "queries", "rows", "semantic", "streams", "surface", "tables", "views"]
+__all__ = ["changes", "code", "domain", "families", "functions", "joins", "oracle_sql", "queries", "rows", "semantic", "streams", "surface", "tables", "views"]

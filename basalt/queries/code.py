@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import code_queries as Q
@@ -74,11 +75,11 @@ def signature_impact(t):
 
 @query("""
 SELECT coalesce(a.k, b.k) AS exception, coalesce(a.n, 0) AS raised, coalesce(b.n, 0) AS caught, coalesce(b.n, 0) = 0 AS uncaught
-FROM (SELECT props AS k, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) a FULL JOIN (SELECT props AS k, count(*) AS n FROM events WHERE event_type = 'click' AND user_id < 20 GROUP BY 1) b ON a.k = b.k
+FROM (SELECT props AS k, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) a FULL JOIN (SELECT props AS k, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) b ON a.k = b.k
 """)
 def exception_census(t):
     e = t.events.withColumn("exception", F.col("props"))
-    return Q.exception_census(e.where("event_type = 'error'"), e.where("event_type = 'click' and user_id < 20"))
+    return Q.exception_census(e.where("event_type = 'error'"), e.where("event_type = 'click'"))
 
 
 @query(f"""
@@ -101,18 +102,19 @@ def ranked_search(t):
 
 
 @query("""
-WITH l AS (SELECT doc_id, substr(text, 1, 30) AS a, substr(text, 31, 30) AS b FROM documents)
-SELECT doc_id, CAST(strlen(substr(a, 1, 4)) AS BIGINT) AS bstart, CAST(strlen(a) + strlen(substr(b, 1, 6)) AS BIGINT) AS bend FROM l WHERE length(b) > 6
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+SELECT doc_id, CAST(strlen(substr(lines[1], 1, 4)) AS BIGINT) AS bstart, CAST(strlen(text) - strlen(lines[-1]) + strlen(substr(lines[-1], 1, 6)) AS BIGINT) AS bend FROM l
 """)
 def occurrences_to_bytes(t):
-    text = F.col("text")
-    a, b = F.substring(text, 1, 30), F.substring(text, 31, 30)
-    d = t.documents.where(F.length(b) > 6)
-    path = F.col("doc_id").cast("string").alias("path")
-    one = d.select(path, F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("line_start_byte"), a.alias("line_text"))
-    two = d.select(path, F.lit(1).alias("line_no"), F.octet_length(a).cast("long").alias("line_start_byte"), b.alias("line_text"))
-    occ = d.select(path, F.lit("s").alias("symbol"), F.lit(0).alias("symbol_roles"), F.lit(1).alias("line_base"), F.lit(1).alias("start_line"), F.lit(4).alias("start_char"), F.lit(2).alias("end_line"), F.lit(6).alias("end_char"))
-    return B.occurrences_to_bytes(occ, one.union(two), t.spark).select(F.col("path").cast("long").alias("doc_id"), "bstart", "bend")
+    """An occurrence from the first line of each text to the last, over an index of all lines of all texts."""
+    d = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    lines = d.select("path", F.posexplode("lines").alias("line_no", "line_text"))
+    before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    index = lines.withColumn("line_start_byte", F.coalesce(F.sum(F.octet_length("line_text") + 1).over(before), F.lit(0)).cast("long"))
+    occ = d.select(
+        "path", F.lit("s").alias("symbol"), F.lit(0).alias("symbol_roles"), F.lit(1).alias("line_base"), F.lit(1).alias("start_line"), F.lit(4).alias("start_char"), F.size("lines").alias("end_line"), F.lit(6).alias("end_char")
+    )
+    return B.occurrences_to_bytes(occ, index, t.spark).select(F.col("path").cast("long").alias("doc_id"), "bstart", "bend")
 
 
 @query(f"SELECT event_id, path, bstart, bend, 'byte' AS col_unit FROM {INTERVALS_SQL}")

@@ -103,16 +103,19 @@ def array_rules(t):
     )
 
 
-@query("SELECT doc_id, strlen(substr(text, 1, CAST(doc_id % 40 AS INTEGER))) AS at32, least(doc_id % 40, strlen(text)) AS at8 FROM documents")
+@query("""
+SELECT doc_id, strlen(substr(text, 1, CAST(length(text) * (doc_id % 10) // 9 AS INTEGER))) AS at32, least(length(text) * (doc_id % 10) // 9, strlen(text)) AS at8 FROM documents
+""")
 def col_to_byte(t):
-    col = F.col("doc_id") % 40
+    """Columns spread over the whole of each text."""
+    col = F.floor(F.length("text") * (F.col("doc_id") % 10) / 9)
     return t.documents.select("doc_id", P.col_to_byte(F.col("text"), col).alias("at32"), P.col_to_byte(F.col("text"), col, "BYTE").alias("at8"))
 
 
-@query("SELECT doc_id, 10 + strlen(substr(text, 1, 3)) AS bstart, 20 + strlen(substr(text, 1, 5)) AS bend FROM documents")
+@query("SELECT doc_id, 10 + strlen(substr(text, 1, length(text) // 3)) AS bstart, 20 + strlen(substr(text, 1, length(text) - 1)) AS bend FROM documents")
 def canonicalize_byte_span(t):
     text = F.col("text")
-    span = P.canonicalize_byte_span(F.lit(10), text, F.lit(3), F.lit(20), text, F.lit(5))
+    span = P.canonicalize_byte_span(F.lit(10), text, F.floor(F.length(text) / 3), F.lit(20), text, F.length(text) - 1)
     return t.documents.select("doc_id", span.alias("s")).select("doc_id", "s.*")
 
 

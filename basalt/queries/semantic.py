@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.spans import span_make
+from ..operators.intervals import smallest_container
 from ..semantic import diagnostics as D
 from ..semantic import exprs as E
 from ..semantic import relationships as R
@@ -159,10 +160,4 @@ WITH s AS {s}, p AS (SELECT l.event_id, r.event_id AS holder, r.bend - r.bstart
 SELECT event_id, holder FROM p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY size, holder) = 1
 """.replace("{s}", INTERVALS_SQL))
 def smallest_containing_interval(t):
-    from pyspark.sql import Window
-
-    s = intervals(t)
-    o = s.select(F.col("path").alias("p"), F.col("event_id").alias("holder"), F.col("bstart").alias("hs"), F.col("bend").alias("he"))
-    pairs = s.join(o, (F.col("path") == F.col("p")) & (F.col("hs") <= F.col("bstart")) & (F.col("bend") <= F.col("he")) & (F.col("event_id") != F.col("holder")))
-    w = Window.partitionBy("event_id").orderBy(F.col("he") - F.col("hs"), "holder")
-    return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select("event_id", "holder")
+    return smallest_container(intervals(t), "event_id")

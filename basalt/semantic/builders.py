@@ -101,6 +101,12 @@ def diagnostics_view(errors: DataFrame | None, spark: SparkSession, severity: st
     return errors.select("path", F.col("bstart").cast("long"), F.col("bend").cast("long"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.lit(source).alias("diag_source"), ident.alias("diag_id"))
 
 
+def span_errors(errors: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """Spans that could not be turned into bytes, as they were recorded; empty without the table."""
+    schema = "path string, line_no int, error string"
+    return spark.createDataFrame([], schema) if errors is None else project_to_schema(errors, T._parse_datatype_string(schema))
+
+
 def needed(reads: dict[str, tuple[str, ...]], outputs: tuple[str, ...]) -> set[str]:
     """The views that outputs reach through what they read."""
     todo, seen = list(outputs), set()

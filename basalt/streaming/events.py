@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 
 def event_stream(spark: SparkSession, folder: str, sample: DataFrame, pattern: str = "events.parquet") -> DataFrame:
     """The table of a folder as a stream; times without a zone count as UTC, so that they can carry a watermark.
@@ -42,11 +44,24 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns the rows of its memory table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there and returns the rows as a table in the shared folder.
+
+    Every batch has a folder of its own there, so a batch that is done again replaces itself; in complete mode the last
+    batch has all rows.  Nothing passes through the driver.  The state lies in the shared folder too.
+    """
+    spark = stream.sparkSession
+    path, last = new_path(spark, name), []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        last[:] = [batch]
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
+    writer.option("checkpointLocation", checkpoint or new_path(spark, f"{name}-state")).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    found = spark.read.schema(stream.schema)
+    return found.parquet(f"{path}/batch={last[0]}") if mode == "complete" else found.parquet(path).select(*stream.columns)
 
 
 def batches(df: DataFrame) -> Iterator:

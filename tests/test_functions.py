@@ -119,3 +119,45 @@ def test_sliding_count(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate("abbb")], "i long, v string")
     w = Window.orderBy("i").rowsBetween(-1, 0)
     assert [r[0] for r in df.select(A.sliding_count_distinct(F.col("v"), w)).collect()] == [1, 2, 1, 1]
+
+
+@pytest.mark.parametrize(
+    ("text", "pattern", "new", "want"),
+    [
+        ("xab", "a(?=b)", "-", "x-b"), ("a.b a", r"\ba\b", "-", "-.b a"), ("xyx", "^x", "-", "-yx"), ("yx", "^x", "-", "yx"), ("aab", "(?<=a)a", "-", "a-b"), ("abab", "(a)(b)", "$2$1", "baab"), ("xaab", r"(a)\1", "<$1>", "x<a>b"),
+        ("a\nb.c", ".b", "-", "a\nb.c"), ("a\nxbc", ".b", "-", "a\n-c"), ("cost 5", r"\d", r"\$1", "cost $1"), ("AbA", "(?i)a", "-", "-bA"), ("", "a*", "-", "-"), ("zz", "a", "-", "zz"),
+    ],
+)
+def test_regexp_replace_first(spark, text, pattern, new, want):
+    """The match sees what is around it; groups keep their numbers."""
+    df = spark.createDataFrame([(text,)], "v string")
+    assert df.select(X.regexp_replace_first(F.col("v"), pattern, new)).first()[0] == want
+
+
+def best(spark, rows, schema, kind="number"):
+    df = spark.createDataFrame(rows, schema)
+    return df.agg(A.arg_max(F.col("v"), F.col("k"), kind).alias("a")).first().a
+
+
+def test_arg_max_of_any_key(spark):
+    import datetime as dt
+
+    assert best(spark, [("a", 1e-8), ("b", 9e-8)], "v string, k double") == "b"
+    assert best(spark, [("a", 1e40), ("b", -1e40), ("c", 1e40), (None, 1e50), ("d", None)], "v string, k double") == "a"
+    assert best(spark, [("a", 1.0), ("b", float("nan")), ("c", float("inf"))], "v string, k double") == "b"
+    assert best(spark, [("a", -(1 << 63)), ("b", (1 << 63) - 1)], "v string, k long", "integer") == "b"
+    assert best(spark, [("a", -(1 << 63)), ("b", -(1 << 63))], "v string, k long", "integer") == "a"
+    assert best(spark, [("a", "x"), ("b", "xé"), ("c", "x\x00"), ("d", "")], "v string, k string", "text") == "b"
+    assert best(spark, [("a", dt.date(1960, 1, 1)), ("b", dt.date(2020, 1, 1))], "v string, k date", "date") == "b"
+    assert best(spark, [("a", dt.datetime(2020, 1, 1, 0, 0, 0, 1)), ("b", dt.datetime(2020, 1, 1))], "v string, k timestamp", "timestamp") == "a"
+    assert best(spark, [(1, False), (2, True), (3, True)], "v int, k boolean", "boolean") == 2
+    with pytest.raises(ValueError):
+        A.descending(F.col("k"), "colour")
+
+
+def test_list_unique_keeps_the_type_of_its_elements(spark):
+    for schema, values in (("v int", [3, None, 1, 3]), ("v date", [None]), ("v struct<a:int>", [((1,)), None])):
+        df = spark.createDataFrame([(v,) for v in values], schema)
+        out = df.agg(A.list_unique(F.col("v"), ignore_nulls=False).alias("l"))
+        assert out.schema["l"].dataType.elementType == df.schema["v"].dataType
+        assert out.first().l[-1] is None and len(out.first().l) == len({str(v) for v in values})

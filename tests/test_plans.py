@@ -51,6 +51,19 @@ def test_params():
     assert S.positional((S.Param("utf8", "b", 2), S.Param("null", "x", 1))) == [None, "b"]
 
 
+@pytest.mark.parametrize(("kind", "value"), [("int64", "abc"), ("int64", True), ("int64", 1 << 63), ("utf8", 1), ("float64", "1"), ("boolean", 1), ("date", "2020-13-01"), ("timestamp", 5), ("other", 1)])
+def test_params_of_another_type(kind, value):
+    with pytest.raises(S.SpecError):
+        S.positional((S.Param(kind, value, 1),))
+
+
+def test_param_values():
+    import datetime as dt
+
+    found = S.positional((S.Param("date", "2020-02-01", 1), S.Param("timestamp", "2020-02-01T03:04:05", 2), S.Param("float64", 2, 3), S.Param("utf8", None, 4)))
+    assert found == [dt.date(2020, 2, 1), dt.datetime(2020, 2, 1, 3, 4, 5), 2.0, None]
+
+
 def test_spec_round_trip_and_fingerprint(spark, tmp_path):
     spec = S.Spec(("a",), (S.View("v", S.Filter("a", "id > 1")),), (S.Output("out", "v", ("id",), "append"),))
     data = {"a": frame(spark, (1, 0, 1), (2, 0, 1), (3, 0, 1))}
@@ -75,6 +88,39 @@ def test_guard(spark, sql, kind):
             G.safe_sql(spark, sql)
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "EXECUTE IMMEDIATE 'CREATE TEMPORARY VIEW sneaked AS SELECT 1'", "BEGIN CREATE TEMPORARY VIEW sneaked AS SELECT 1; END", "CALL sys.run()", "SET x = 1", "EXPLAIN SELECT 1", "SHOW TABLES", "DESCRIBE t",
+        "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "FROM t INSERT INTO u SELECT *", "SELECT 1; DROP TABLE t", "/* SELECT */ DROP TABLE t", "-- SELECT\nDROP TABLE t", "SELECT 1) -- ", "ADD JAR 'x.jar'",
+    ],
+)
+def test_guard_takes_nothing_but_queries(spark, sql):
+    with pytest.raises(G.PolicyError):
+        G.safe_sql(spark, sql).collect()
+    assert not spark.catalog.tableExists("sneaked")
+
+
+@pytest.mark.parametrize("sql", ["SELECT 1 AS a;", "-- first\nSELECT 1 AS a -- last", "(SELECT 1 AS a) UNION ALL SELECT 2", "VALUES (1)", "/* a */ WITH b AS (SELECT 1 AS a) SELECT * FROM b ORDER BY a"])
+def test_guard_takes_queries_of_any_form(spark, sql):
+    assert G.safe_sql(spark, sql).count() >= 1
+
+
+def test_guard_runs_what_is_allowed(spark):
+    G.safe_sql(spark, "CREATE OR REPLACE TEMPORARY VIEW allowed_here AS SELECT 1 AS a", frozenset({"ddl"}))
+    assert spark.table("allowed_here").count() == 1
+
+
+def test_wide_plans(spark):
+    """What stands beyond the columns that Spark prints counts too; words in literals do not."""
+    wide = [F.lit(i).alias(f"c{i}") for i in range(60)]
+    with pytest.raises(G.PolicyError):
+        G.require_deterministic(spark.range(1).select(*wide, F.rand().alias("r")))
+    G.require_deterministic(spark.range(1).select(F.lit("rand(").alias("x"), F.lit("now()").alias("y")), strict=True)
+    one, two = spark.range(1).select(*wide), spark.range(1).select(*wide[:59], F.lit(-1).alias("c59"))
+    assert G.plan_fingerprint(one) != G.plan_fingerprint(two) and G.plan_fingerprint(one) == G.plan_fingerprint(spark.range(1).select(*wide))
+
+
 def test_guard_runs_queries(spark):
     assert G.safe_sql(spark, "SELECT * FROM {t} WHERE id > :low", args={"low": 3}, t=spark.range(6)).count() == 2
     with pytest.raises(G.PolicyError):
