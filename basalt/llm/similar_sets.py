@@ -16,6 +16,8 @@ SHORT_RUN = 8
 PIVOTS = 4
 #: Members of a block of a group; a larger group is compared block by block.
 BLOCK = 4096
+#: Rounds that try few pairs of a group, those that would connect all that may be alike, before the rest is compared.
+TREE_ROUNDS = 2
 #: Up to so many texts are looked up by a broadcast list of their hashes, more by a join that shuffles.
 MOST_BROADCAST = 1_000_000
 _LEAST = 1e-9
@@ -157,18 +159,32 @@ def _may_be_alike(x: np.ndarray, y: np.ndarray, both: np.ndarray, similarity: fl
     return (low.sum(1, dtype=np.int64) >= similarity / (1 + similarity) * both - 1e-6) | (low == 255).any(1)
 
 
-def block_pairs(fps: np.ndarray, parts: np.ndarray, sides: np.ndarray, sizes: np.ndarray, bins: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of different parts whose sizes and counts allow them to be alike; of two ``sides``, if there are."""
+def block_pairs(
+    fps: np.ndarray, parts: np.ndarray, sides: np.ndarray, sizes: np.ndarray, bins: np.ndarray, similarity: float, tree: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different parts whose sizes and counts allow them to be alike; of two ``sides``, if there are.
+
+    A ``tree`` has only pairs of parts that none before them connects: fewer pairs than parts, and where all are alike
+    they connect what all pairs connect.
+    """
     _, number, times = np.unique(parts, return_inverse=True, return_counts=True)
     largest, two = int(np.argmax(times)), len(np.unique(sides)) > 1
     before = np.zeros(len(fps), bool)  # what has asked already
     left, right = [], []
+    root = np.arange(len(times))  # the tree that a part is in
     for i in np.flatnonzero(number != largest).tolist():
-        ok = (number != number[i]) & ~before & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - _LEAST)
+        trees = root[number]
+        ok = (trees != trees[i]) & ~before & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - _LEAST)
         if two:
             ok &= sides != sides[i]
         near = np.flatnonzero(ok)
         near = near[_may_be_alike(bins[near], bins[i], sizes[near] + sizes[i], similarity)]
+        if tree and len(near):  # of each tree the likeliest
+            share = np.minimum(bins[near], bins[i]).sum(1, dtype=np.int64) / np.maximum(sizes[near] + sizes[i], 1)
+            near = near[np.argsort(-share, kind="stable")]
+            met, first = np.unique(trees[near], return_index=True)
+            near = near[first]
+            root[np.isin(root, met)] = trees[i]
         left.append(np.full(len(near), fps[i]))
         right.append(fps[near])
         before[i] = True
@@ -178,7 +194,7 @@ def block_pairs(fps: np.ndarray, parts: np.ndarray, sides: np.ndarray, sizes: np
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _by_block(similarity: float):
+def _by_block(similarity: float, tree: bool):
     """Rows (key, side, fp, part, size, bins) sorted by key to the pairs of each block."""
 
     def work(batches):
@@ -189,7 +205,7 @@ def _by_block(similarity: float):
         def solve():
             _, sides, fps, parts, sizes = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in range(5))
             bins = np.concatenate([np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, 256) for b in held])
-            found = block_pairs(fps, parts, sides, sizes, bins, similarity)
+            found = block_pairs(fps, parts, sides, sizes, bins, similarity, tree)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
 
         for batch in batches:
@@ -207,9 +223,9 @@ def _by_block(similarity: float):
     return work
 
 
-def _group_pairs(groups: DataFrame, links: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame | None:
-    """The pairs inside groups (pivot, fp) that no link connects yet and whose counts allow them to be alike; None if no
-    group has two parts.
+def _group_pairs(groups: DataFrame, links: DataFrame, distinct: DataFrame, similarity: float, tree: bool) -> DataFrame | None:
+    """The pairs inside groups (pivot, fp) that no link connects yet and whose counts allow them to be alike, or a
+    ``tree`` of them (``block_pairs``); None if no group has two parts.
 
     A group meets in one task, or, where it is large, in a task for each two of its blocks.
     """
@@ -227,7 +243,7 @@ def _group_pairs(groups: DataFrame, links: DataFrame, distinct: DataFrame, simil
     number = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = dealt.join(distinct.select("fp", "size", "bins"), "fp").select("key", "mine", "fp", "part", "size", "bins")
     met = met.repartition(number, "key").sortWithinPartitions("key")
-    return materialize(met.mapInArrow(_by_block(similarity), "a long, b long").distinct(), "similar-rest")
+    return materialize(met.mapInArrow(_by_block(similarity, tree), "a long, b long").distinct(), "similar-rest")
 
 
 def _sets_of(wanted: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFrame:
@@ -285,7 +301,9 @@ def set_links(marks: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
     Two sets of which a share of ``similarity`` is common have one of their first shingles in common (prefix
     filter), whatever order all texts take the shingles in.  Rare ones come first, so runs are short.  In a long
     run every member is compared with a pivot; then the members of all runs with that pivot that are still in
-    different parts are compared by their counts, inside a task, and only what may be alike leaves it.
+    different parts are compared by their counts, inside a task, and only what may be alike leaves it.  Two rounds
+    take a tree of those pairs, so a large group whose members are alike gives a pair for each member and not for
+    each two; the last takes all that are still apart, so none is lost.
     """
     tokens = marks.select("fp", "size", F.posexplode("prefix").alias("at", "token")).select("token", "fp", "size", F.col("at").cast("long"))
     number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -296,5 +314,10 @@ def set_links(marks: DataFrame, distinct: DataFrame, docs: DataFrame, size: int,
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     links = _verified(pairs, distinct, docs, size, similarity, text_col)
     groups = first.where("kind > 0").select(F.col("a").alias("pivot"), F.col("b").alias("fp")).distinct()
-    rest = _group_pairs(groups, links, distinct, similarity)
-    return links if rest is None else links.union(_verified(rest, distinct, docs, size, similarity, text_col))
+    groups = materialize(groups, "similar-members")
+    for at in range(TREE_ROUNDS + 1):
+        rest = _group_pairs(groups, links, distinct, similarity, tree=at < TREE_ROUNDS)
+        if rest is None or rest.isEmpty():
+            break
+        links = links.union(_verified(rest, distinct, docs, size, similarity, text_col))
+    return links

@@ -87,6 +87,23 @@ def test_blocks_lose_no_alike_pair():
         assert len(found) < 3 * len(apart) + 20
 
 
+@pytest.mark.parametrize("sides", [False, True])
+def test_tree_of_alike_members_has_a_pair_for_each_part(sides):
+    """Members that are all alike: as many pairs as connect them, and one part of them; parts far apart give none."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) > 0.02], rng.integers(0, 1 << 60, 4).astype(np.uint64)])) for _ in range(200)]
+    sets += [rng.integers(0, 1 << 60, 400).astype(np.uint64) for _ in range(3)]
+    fps, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    bins = np.stack([np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) for s in sets]).astype(np.uint8)
+    a, b = similar_sets.block_pairs(fps, fps, fps % 2 if sides else fps * 0, sizes, bins, 0.8, tree=True)
+    assert len(a) == 199 and set(a.tolist()) | set(b.tolist()) == set(range(200))
+    root = list(range(200))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        root = [root[y] if r == root[x] else r for r in root]
+    assert len(set(root)) == 1
+
+
 def test_recall_on_the_test_tables(spark, sf):
     """Every pair of documents that differ in more than white space and are alike by all pairs' Jaccard is joined."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
